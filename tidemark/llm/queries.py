@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
-from .common import read
+from . import decontaminate, language_id, line_dedup, mixing
+from .common import held_out, read
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    model = language_id.train(docs.where("not held_out").select("text", "lang"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +29,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op4_line_dedup, op8_mixing)}
 ORACLES = {"op8_mixing": mixing.SQL.format(documents="documents")}
