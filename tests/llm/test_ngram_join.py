@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from tidemark.llm.common import mix
-from tidemark.llm.ngram_join import Hot, block_keys, components, similarity_classes
+from tidemark.llm.ngram_join import Hot, block_keys, components, keep_one, similarity_classes
 
 
 def shingles(text, k=5):
@@ -82,6 +82,9 @@ def test_edges(spark):
     got = similarity_classes(df).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == [x if x[1] else (x[0], 0, x[0]) for x in brute(docs)]
     assert similarity_classes(df.limit(0)).count() == 0
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [3, 4, 4, 10, 5, 7, 9, 11, 13]))
 
 
 def test_components_of_a_path(spark):

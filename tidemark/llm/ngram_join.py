@@ -30,8 +30,8 @@ GROUP = 24
 HOT_SHARE, HOT_SAMPLE, HOT_SHINGLES = 0.004, 20_000, 1 << 18
 #: Node tables of up to so many rows (16 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 1_000_000
-STAGE = "kind byte, doc_id long, node long, n long, part int, data binary"
-FOUND = "kind byte, doc_id long, node long, n long, key long, other long"
+STAGE = "kind byte, doc_id long, h long, node long, n long, part int, data binary"
+FOUND = "kind byte, doc_id long, h long, node long, n long, key long, other long"
 DOC, PAIR, MEMBER = 0, 1, 2
 SUM = U64(0x9E3779B97F4A7C15)
 
@@ -122,7 +122,7 @@ def _sketch(parts: int, shingle: int, percent: int, hot):
                     sizes.append(len(u))
                     keys.append(got)
                     owners.append(np.full(len(got), node, np.int64))
-            yield _rows(FOUND_DOC, kind=pa.array(np.full(len(ids), DOC, np.int8)), doc_id=ids, node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()))
+            yield _rows(FOUND_DOC, kind=pa.array(np.full(len(ids), DOC, np.int8)), doc_id=ids, h=batch.column(2), node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()))
             if keys and len(k := np.concatenate(keys)):
                 o = np.concatenate(owners)
                 part = (k >> U64(40)) % U64(parts)
@@ -135,8 +135,8 @@ def _sketch(parts: int, shingle: int, percent: int, hot):
     return run
 
 
-FOUND_DOC = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
-FOUND_OUT = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
+FOUND_DOC = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+FOUND_OUT = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
 
 
 def _rows(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
@@ -175,10 +175,10 @@ def _meet(group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: list[np.ndarray] = []
         for batch in batches:
-            data = batch.column(5)
+            data = batch.column(6)
             if data.null_count:
                 docs = batch.filter(pa.array(batch.column(0).to_numpy(zero_copy_only=False) == DOC))
-                yield _rows(FOUND_OUT, kind=docs.column(0), doc_id=docs.column(1), node=docs.column(2), n=docs.column(3))
+                yield _rows(FOUND_OUT, kind=docs.column(0), doc_id=docs.column(1), h=docs.column(2), node=docs.column(3), n=docs.column(4))
             packed += [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in data if x.is_valid]
         if packed:
             rows = np.concatenate(packed)
@@ -257,7 +257,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def similarity_classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def similarity_classes(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id), a row for each row of `docs`.
 
     Two rows are linked when their sets of distinct `shingle`-word shingles have a Jaccard similarity of
@@ -266,17 +266,23 @@ def similarity_classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     copies are never compared; n_links counts the other nodes with a verified link, a lower bound in
     groups of more than `group` sets, where links that can't change a component may go uncompared. Rows
     without doc_id count like others, but give no component an id: component_id is null where no row has
-    one. An empty table gives an empty one. Nodes are 64-bit hashes of sets.
+    one. An empty table gives an empty one. Nodes are 64-bit hashes of sets. `params`: shingle, percent, and
+    group, the size of groups from which on leaders are compared first.
     """
+    return classes(docs, **params).select("doc_id", "n_shingles", "n_links", "component_id")
+
+
+def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+    """What similarity_classes returns, with the hash of the text and the component's node."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 16 * width
     hot = spark.sparkContext.broadcast(Hot(hot_shingles(docs, shingle)))
     staged = docs.mapInArrow(_sketch(parts, shingle, percent, hot), STAGE)
     dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("node"), F.lit(parts))))
     found = cut(dealt.mapInArrow(_meet(group), FOUND), "met")
-    nodes = found.where(f"kind = {DOC}").select("doc_id", "node", "n")
+    nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
     pairs = cut(found.where(f"kind = {PAIR}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
     members = found.where(f"kind = {MEMBER}").select("key", "node")
 
@@ -322,5 +328,29 @@ def similarity_classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     ids = cut(ids.where("n > 0"), "ids")
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = ids.join(least, "comp").join(degree, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-    return named.union(nodes.where("n = 0").select("doc_id", F.col("n"), F.lit(0).cast("long"), F.col("doc_id")))
+    named = ids.join(least, "comp").join(degree, "node", "left").select("doc_id", "h", "comp", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    return named.union(nodes.where("n = 0").select("doc_id", "h", "node", F.col("n"), F.lit(0).cast("long"), F.col("doc_id")))
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """`docs` with one row of each group of linked texts, that with the least doc_id (null is largest).
+
+    Texts without words are linked with nothing and all stay. Among rows of a group with the least doc_id
+    the text's hash decides; of rows alike in both, one stays.
+    """
+    found = cut(classes(docs, **params).where("n_shingles > 0").select("doc_id", "h", "comp"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))
+    kept = found.groupBy("comp").agg(F.min(order).alias("k")).select("comp", "k.doc_id", "k.h")
+    mark = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__d"), F.col("h").alias("__h")]
+    same = found.groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    best = same.join(kept.select("comp", F.col("doc_id").alias("kd"), F.col("h").alias("kh")), "comp")
+    best = cut(best.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("h") == F.col("kh"))), "best")
+    gone = best.where("not stays").select(*mark).distinct()
+    twice = best.where("stays and rows > 1").select(*mark).distinct()
+    keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64("text")})
+    left = keyed.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), ["__d", "__h"], "left_anti")
+    n = twice.count()
+    if n:
+        twice = broadcast_if_small(twice, n, BROADCAST_ROWS)
+        left = left.join(twice, ["__d", "__h"], "left_anti").unionByName(left.join(twice, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]))
+    return left.select(*docs.columns)
