@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, permutation_index
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, permutation_index, token_counts
 from .common import held_out, read
 
 
@@ -28,6 +28,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(read(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(read(spark, sf_dir, "embeddings"))
 
@@ -37,5 +41,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op4_line_dedup, op5_ngram_join, op7_permutation_index, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op4_line_dedup, op5_ngram_join, op6_token_counts, op7_permutation_index, op8_mixing)}
 ORACLES = {"op8_mixing": mixing.SQL.format(documents="documents")}
