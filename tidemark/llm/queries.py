@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, permutation_index, token_counts
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, permutation_index, token_counts, toxicity, warc
 from .common import held_out, read
 
 
@@ -19,6 +19,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    model = toxicity.train(toxicity.sampled(docs.where("not held_out"), read(spark, sf_dir, "labels")))
+    return toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs, count="lines_removed")
@@ -41,5 +47,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op4_line_dedup, op5_ngram_join, op6_token_counts, op7_permutation_index, op8_mixing)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_toxicity, op4_line_dedup, op5_ngram_join, op6_token_counts, op7_permutation_index, op8_mixing, op10_warc)}
 ORACLES = {"op8_mixing": mixing.SQL.format(documents="documents")}
