@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, permutation_index, token_counts, toxicity, warc
+from . import decontaminate, language_id, line_dedup, maxent_lm, mixing, ngram_join, permutation_index, token_counts, toxicity, warc
 from .common import held_out, read
 
 
@@ -47,9 +47,28 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 10, 0))
+    return maxent_lm.train_and_score(docs.select("doc_id", "held_out", "text"), "held_out")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_toxicity, op4_line_dedup, op5_ngram_join, op6_token_counts, op7_permutation_index, op8_mixing, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_decontaminate,
+        op3_toxicity,
+        op4_line_dedup,
+        op5_ngram_join,
+        op6_token_counts,
+        op7_permutation_index,
+        op8_mixing,
+        op9_maxent_lm,
+        op10_warc,
+    )
+}
 ORACLES = {"op8_mixing": mixing.SQL.format(documents="documents")}
