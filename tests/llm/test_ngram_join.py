@@ -70,8 +70,8 @@ def test_against_brute_force(spark):
     rng = random.Random(4)
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for group in (24, 3):
-        got = similarity_classes(df, group=group)
+    for params in ({}, {"group": 3, "rounds": 1, "chunk": 2}):
+        got = similarity_classes(df, **params)
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
 
 

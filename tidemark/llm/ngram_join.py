@@ -1,7 +1,9 @@
 """Similarity join on word shingles with parity sketches.
 
-A set's parity sketch XORs one bit for each element, so two sketches differ in at most as many bits as
-the sets differ in elements. The sketch is cut into 64-bit blocks by hash. Two sets with a Jaccard
+A set's parity sketch XORs one bit for each element into blocks that the element's hash chooses. A block
+has 2**64 bits, folded to 64 by the XOR of its odd bits' hashes, so that unlike elements hardly ever look
+alike. The Hamming distance in blocks of two sketches is at most the size of the symmetric difference,
+as each element of it changes one block. Two sets with a Jaccard
 similarity of at least t differ in at most q = (1 - t) / t times the smaller size elements, hence in at
 most q blocks: if one of them shows its first q + 1 non-empty blocks, at least one of these is equal in
 both. Bands of sizes hold sets that share a number of blocks; a set stands in its own band and in the one
@@ -17,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import U64, Words, broadcast_if_small, chunks, cut, list_array, mix, one_array, shingle_sets, text_bytes
 
@@ -26,12 +27,16 @@ SHINGLE = 5
 PERCENT = 80
 #: In groups of up to so many sets with an equal block all pairs are compared, in larger ones each with a leader.
 GROUP = 24
+#: Rounds of comparing each large group with one leader, before sketches tell which others to compare.
+ROUNDS = 2
+#: Members of a large group that one task compares by sketches with as many others.
+CHUNK = 2048
 #: Shingles of so large a share of a sample of so many texts are hot; at most so many (2 MB) are told to all tasks.
 HOT_SHARE, HOT_SAMPLE, HOT_SHINGLES = 0.004, 20_000, 1 << 18
 #: Node tables of up to so many rows (16 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 1_000_000
 STAGE = "kind byte, doc_id long, h long, node long, n long, part int, data binary"
-FOUND = "kind byte, doc_id long, h long, node long, n long, key long, other long"
+FOUND = "kind byte, doc_id long, h long, node long, n long, key long, other long, sketch binary"
 DOC, PAIR, MEMBER = 0, 1, 2
 SUM = U64(0x9E3779B97F4A7C15)
 
@@ -43,8 +48,12 @@ def band(n: int, percent: int) -> int:
 
 def blocks_of(b: int, percent: int) -> int:
     """Blocks of the sketches in band b: more than the most elements in which two of its sets differ."""
-    largest = (100 / percent) ** (b + 1)
-    return max(4, math.ceil((100 - percent) / percent * largest * 1.08) + 3)
+    return max(4, math.ceil(most_unlike(b, percent) * 1.08) + 3)
+
+
+def most_unlike(b: int, percent: int) -> int:
+    """Elements in which two linked sets can differ at most if the smaller one is of band b."""
+    return int((100 - percent) / percent * (100 / percent) ** (b + 1) + 1e-6)
 
 
 class Hot:
@@ -72,7 +81,7 @@ def _blocks(u: np.ndarray, b: int, q: int, percent: int, space: int) -> tuple[np
     count = blocks_of(b, percent)
     at = ((u >> U64(32)) * U64(count)) >> U64(32)
     first = np.flatnonzero(np.diff(at, prepend=U64(count)))
-    value = np.bitwise_xor.reduceat(U64(1) << (u & U64(63)), first)
+    value = np.bitwise_xor.reduceat(mix(u + SUM), first)
     full = np.flatnonzero(value)[: q + 1]
     return mix(value[full] ^ mix(at[first[full]] + U64((b << 40) + (space << 38)))), len(full) <= q
 
@@ -91,10 +100,11 @@ def block_keys(u: np.ndarray, percent: int, hot: Hot | None = None) -> np.ndarra
     rest = hot.without(u) if hot else u
     out = []
     for b in (own, own - 1) if own else (own,):
-        keys, few = _blocks(rest, b, q, percent, 0)
+        limit = min(q, most_unlike(b, percent))  # in the band below, the other set is the smaller one
+        keys, few = _blocks(rest, b, limit, percent, 0)
         out.append(keys)
         if few:
-            keys, few = _blocks(u, b, q, percent, 1)
+            keys, few = _blocks(u, b, limit, percent, 1)
             out.append(keys)
         if few:
             out.append(mix(np.array([(b << 40) + (1 << 39)], U64)))
@@ -107,22 +117,30 @@ def set_node(u: np.ndarray) -> int:
         return int(mix(np.array([mix(u + SUM).sum(dtype=U64) ^ mix(np.array([len(u)], U64))[0]], U64))[0].view(np.int64))
 
 
+def bit_sketch(u: np.ndarray) -> bytes:
+    """The parity of a set's elements by the low bits of their hash, in at least as many bits as elements."""
+    bits = 1 << max(6, int(len(u) - 1).bit_length()) if len(u) else 64
+    odd = (np.bincount((u & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def _sketch(parts: int, shingle: int, percent: int, hot):
     """Documents as (doc_id, node, n), and their keys packed by destination part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0), one_array(batch.column(1))
-            nodes, sizes, keys, owners = [], [], [], []
+            nodes, sizes, sketches, keys, owners = [], [], [], [], []
             for i, j in chunks(text):
                 for u in shingle_sets(Words(*text_bytes(text.slice(i, j - i))), shingle):
                     node = set_node(u)
                     got = block_keys(u, percent, hot.value)
                     nodes.append(node)
                     sizes.append(len(u))
+                    sketches.append(bit_sketch(u))
                     keys.append(got)
                     owners.append(np.full(len(got), node, np.int64))
-            yield _rows(FOUND_DOC, kind=pa.array(np.full(len(ids), DOC, np.int8)), doc_id=ids, h=batch.column(2), node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()))
+            yield _rows(FOUND_DOC, kind=pa.array(np.full(len(ids), DOC, np.int8)), doc_id=ids, h=batch.column(2), node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()), data=pa.array(sketches, pa.binary()))
             if keys and len(k := np.concatenate(keys)):
                 o = np.concatenate(owners)
                 part = (k >> U64(40)) % U64(parts)
@@ -136,7 +154,7 @@ def _sketch(parts: int, shingle: int, percent: int, hot):
 
 
 FOUND_DOC = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
-FOUND_OUT = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
+FOUND_OUT = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary())])
 
 
 def _rows(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
@@ -175,11 +193,11 @@ def _meet(group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: list[np.ndarray] = []
         for batch in batches:
-            data = batch.column(6)
-            if data.null_count:
-                docs = batch.filter(pa.array(batch.column(0).to_numpy(zero_copy_only=False) == DOC))
-                yield _rows(FOUND_OUT, kind=docs.column(0), doc_id=docs.column(1), h=docs.column(2), node=docs.column(3), n=docs.column(4))
-            packed += [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in data if x.is_valid]
+            is_doc = batch.column(0).to_numpy(zero_copy_only=False) == DOC
+            if is_doc.any():
+                docs = batch.filter(pa.array(is_doc))
+                yield _rows(FOUND_OUT, kind=docs.column(0), doc_id=docs.column(1), h=docs.column(2), node=docs.column(3), n=docs.column(4), sketch=docs.column(6))
+            packed += [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in batch.filter(pa.array(~is_doc)).column(6)]
         if packed:
             rows = np.concatenate(packed)
             packed.clear()
@@ -215,6 +233,54 @@ def _sets(shingle: int):
     return run
 
 
+def _fold(sketch, words: int) -> np.ndarray:
+    """The sketch of fewer bits: a parity of parities."""
+    got = np.frombuffer(sketch, U64)
+    return got if len(got) == words else np.bitwise_xor.reduce(got.reshape(-1, words), axis=0)
+
+
+def _sift(percent: int):
+    """The pairs whose sketches differ in no more bits than the sets of linked texts can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            for r, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = x.as_buffer(), y.as_buffer()
+                words = min(len(x), len(y)) // 8
+                unlike = int(np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum())
+                keep[r] = unlike * (100 + percent) <= sizes[r] * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _compare(percent: int):
+    """Pairs of one cell (chunk i against chunk j of a group) that may be linked, by their sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, chunk = (table[c].to_numpy() for c in ("i", "j", "chunk"))
+        node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
+        sketches = table["sketch"].to_pylist()
+        words = min(len(x) for x in sketches) // 8
+        folded = np.stack([_fold(x, words) for x in sketches])
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        out = []
+        for k in range(0, len(left), 32):
+            x = left[k : k + 32]
+            unlike = sum(np.bitwise_count(folded[x, w][:, None] ^ folded[right, w][None, :]).astype(np.int32) for w in range(words))
+            sizes = n[x][:, None] + n[right][None, :]
+            may = (unlike * (100 + percent) <= sizes * (100 - percent)) & (comp[x][:, None] != comp[right][None, :])
+            a, b = np.nonzero(may)
+            out.append(np.stack([node[x[a]], node[right[b]]], 1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
 def _common(shingle: int, least: int):
     """Shingles of at least `least` texts of a batch, with the number."""
 
@@ -266,13 +332,13 @@ def similarity_classes(docs: DataFrame, **params) -> DataFrame:
     copies are never compared; n_links counts the other nodes with a verified link, a lower bound in
     groups of more than `group` sets, where links that can't change a component may go uncompared. Rows
     without doc_id count like others, but give no component an id: component_id is null where no row has
-    one. An empty table gives an empty one. Nodes are 64-bit hashes of sets. `params`: shingle, percent, and
-    group, the size of groups from which on leaders are compared first.
+    one. An empty table gives an empty one. Nodes are 64-bit hashes of sets. `params`: shingle, percent,
+    group (above so many members leaders are compared first), rounds of leaders, chunk.
     """
     return classes(docs, **params).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
-def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
     """What similarity_classes returns, with the hash of the text and the component's node."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
@@ -283,41 +349,53 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("node"), F.lit(parts))))
     found = cut(dealt.mapInArrow(_meet(group), FOUND), "met")
     nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
-    pairs = cut(found.where(f"kind = {PAIR}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    members = found.where(f"kind = {MEMBER}").select("key", "node")
-
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = cut(nodes.where("doc_id is not null").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "chosen")
+    members = cut(found.where(f"kind = {MEMBER}").select("key", "node"), "members")
+    prints = cut(found.where(f"kind = {DOC} and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "sketches")
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        left = prints.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+        right = prints.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+        near = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        return near.select("a", "b", "na", "nb", "x", "y").mapInArrow(_sift(percent), "a long, b long")
+
+    pairs = cut(sifted(found.where(f"kind = {PAIR}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    chosen = cut(prints.join(wanted, "node", "left_semi").select("doc_id").distinct(), "chosen")
     few = broadcast_if_small(chosen, chosen.count(), BROADCAST_ROWS)
-    sets = cut(docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    sets = docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "node long, items array<long>")
+    sets = cut(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    once = cut(sets.groupBy("node").agg(F.min("row").alias("row")), "rows")
+    sets = sets.join(once.select("row"), "row", "left_semi") if once.count() < sets.count() else sets
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        sizes = sets.select("node", F.size("items").alias("n"))
-        near = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        both = near.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+        both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
     links = cut(verified(pairs), "links")
     comps = components(links)
-    tested, leaders = pairs, 1
-    while True:
-        # Large groups whose members are not all in one component yet: those with most links lead, and are
-        # compared with all others; more of them each round, so that few rounds compare all that remain.
+    tested = pairs
+    for turn in range(rounds + 1):
+        # Large groups whose members are not all in one component yet.
         named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        live = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        live = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
         named = cut(named.join(live, "key"), "live")
         if not named.limit(1).count():
             break
-        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        order = Window.partitionBy("key").orderBy(F.col("degree").desc_nulls_last(), F.xxhash64("node"), "node")
-        lead = cut(named.join(degree, "node", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders).select("key", F.col("node").alias("l"), F.col("comp").alias("lc")), "leaders")
-        new = named.join(lead, "key").where("comp <> lc").select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
-        members = cut(named.select("key", "node").join(lead.select("key", F.col("l").alias("node")), ["key", "node"], "left_anti"), "members")
-        leaders *= 4
-        new = cut(new.join(tested, ["a", "b"], "left_anti"), "new")
+        if turn < rounds:  # the member with most links is compared with all others
+            degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+            order = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node").alias("h"), F.col("node"), F.col("comp"))
+            lead = named.join(degree, "node", "left").groupBy("key").agg(F.max(order).alias("lead")).select("key", F.col("lead.node").alias("l"), F.col("lead.comp").alias("lc"))
+            new = named.join(lead, "key").where("comp <> lc").select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b"))
+            members = named.join(lead.select("key", F.col("l").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        else:  # cells of two chunks each compare what is left by sketches
+            cells = F.ceil(F.col("k") / chunk)
+            spread = named.withColumn("c", cells).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")))
+            spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumns({"i": F.least("chunk", "o"), "j": F.greatest("chunk", "o")})
+            spread = spread.select("key", "i", "j", "chunk", "node", "comp").join(prints.select("node", "n", "sketch"), "node")
+            new = spread.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+        new = cut(sifted(new.distinct().join(tested, ["a", "b"], "left_anti")), "new")
         tested = tested.union(new)
         more = cut(verified(new), "links")
         if more.limit(1).count():
