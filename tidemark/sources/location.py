@@ -27,3 +27,12 @@ def resolve(url: str) -> tuple[str, dict[str, str]]:
         "fs.s3a.path.style.access": "true",
     }
     return "/".join(x for x in (f"s3a://{bucket}", prefix) if x), settings
+
+
+def open_fs(uri: str):
+    """A pyarrow file system and a path in it, for a URI (file, hdfs, s3, gs and so on) or a local path."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))

@@ -6,7 +6,6 @@ tombstone, the key, and for other records a varint of the value's length and the
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.varint import VERSION, decode, encode
+from .location import open_fs
 
 Row = tuple[str, bytes | None, bool]
 PERMISSIVE, FAILFAST = "PERMISSIVE", "FAILFAST"
@@ -101,8 +101,8 @@ def read_files(spark: SparkSession, paths: str | list[str], mode: str = PERMISSI
 class SSTableSource(DataSource):
     """spark.read.format("sstable").load(folder), and df.write.format("sstable").save(folder).
 
-    Options: path, a local or mounted folder or file; mode, PERMISSIVE or FAILFAST. Each task of a write
-    makes one file, which appears when the whole write has succeeded.
+    Options: path, a folder or file on any file system that pyarrow opens; mode, PERMISSIVE or FAILFAST.
+    Each task of a write makes one file, which appears when the whole write has succeeded.
     """
 
     @classmethod
@@ -119,52 +119,55 @@ class SSTableSource(DataSource):
         return SSTableWriter(self.options, schema.fieldNames(), overwrite)
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
-
-
 class SSTableReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.mode = _local(options["path"]), options.get("mode", PERMISSIVE).upper()
+        self.path, self.mode = options["path"], options.get("mode", PERMISSIVE).upper()
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isfile(self.path):
-            return [InputPartition(self.path)]
-        return [InputPartition(os.path.join(self.path, x)) for x in sorted(os.listdir(self.path)) if x.endswith(".sstable")]
+        from pyarrow.fs import FileSelector
+
+        fs, path = open_fs(self.path)
+        if fs.get_file_info(path).is_file:
+            return [InputPartition(path)]
+        return [InputPartition(x.path) for x in sorted(fs.get_file_info(FileSelector(path)), key=lambda x: x.path) if x.path.endswith(".sstable")]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
-        with open(partition.value, "rb") as f:
+        fs, _ = open_fs(self.path)
+        with fs.open_input_file(partition.value) as f:
             yield from _batches(partition.value, f.read(), self.mode)
 
 
 class SSTableWriter(DataSourceWriter):
     def __init__(self, options, names: list[str], overwrite: bool):
-        self.path, self.names, self.overwrite = _local(options["path"]), names, overwrite
+        self.path, self.names, self.overwrite = options["path"], names, overwrite
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        fs, path = open_fs(self.path)
+        fs.create_dir(path, recursive=True)
         k, v, t = (self.names.index(c) for c in ("key", "value", "tombstone"))
-        data = encode_records((r[k], None if r[v] is None else bytes(r[v]), r[t]) for r in rows)
-        own = os.path.join(self.path, f"_{uuid.uuid4().hex}.sstable.tmp")
-        with open(own, "wb") as f:
-            f.write(data)
+        own = f"{path}/_{uuid.uuid4().hex}.tmp"
+        with fs.open_output_stream(own) as f:
+            f.write(encode_records((r[k], None if r[v] is None else bytes(r[v]), r[t]) for r in rows))
         message = WriterCommitMessage()
         message.file = own  # type: ignore[attr-defined]
         return message
 
     def commit(self, messages: list) -> None:
+        from pyarrow.fs import FileSelector
+
+        fs, path = open_fs(self.path)
         if self.overwrite:
-            for x in os.listdir(self.path):
-                if x.endswith(".sstable"):
-                    os.remove(os.path.join(self.path, x))
+            for x in fs.get_file_info(FileSelector(path)):
+                if x.path.endswith(".sstable"):
+                    fs.delete_file(x.path)
         for m in messages:
             if m is not None:
-                folder, name = os.path.split(m.file)
-                os.replace(m.file, os.path.join(folder, name[1:].removesuffix(".tmp")))
+                fs.move(m.file, f"{path}/{m.file.rsplit('/', 1)[1].removeprefix('_').removesuffix('.tmp')}.sstable")
 
     def abort(self, messages: list) -> None:
+        fs, _ = open_fs(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.file):
-                os.remove(m.file)
+            if m is not None:
+                fs.delete_file(m.file)
