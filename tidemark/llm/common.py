@@ -6,7 +6,6 @@ lower-cased. They are found and hashed for a whole batch of texts at once, on th
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.location import open_fs as open_fs
+
 U64 = np.uint64
 #: Bytes of text that are held as numpy arrays at once; a longer text is still taken whole.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: An odd multiplier for polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E6C63D0876A9A47 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -186,14 +187,3 @@ def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def open_fs(uri: str):
-    """A pyarrow file system and path for a folder URI (file, hdfs, s3, gs and so on)."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        uri = "file://" + os.path.abspath(uri)
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)

@@ -20,9 +20,9 @@ DISCOUNT = 0.75
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 600_000
 #: A text is rejected when its cross-entropy is so many calibrated deviations above what texts of its
-#: length have in calibration, and SLACK bits besides.
+#: length have in calibration, and SLACK bits besides, as whole documents differ in what they mix.
 DEVIATIONS = 6.0
-SLACK = 0.35
+SLACK = 1.0
 UNKNOWN = "und"
 SEED = "lid-1"
 
