@@ -16,8 +16,8 @@ from .common import cut, one_array
 PIVOTS = 512
 PREFIX = 64
 #: Share of each shard that is reranked, and the least number of vectors.
-FRACTION = 0.15
-LEAST = 400
+FRACTION = 0.25
+LEAST = 1000
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 NEIGHBOURS = 20
