@@ -89,4 +89,4 @@ def test_edges(spark):
 
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
-    assert {(r.node, r.comp) for r in components(links).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+    assert {(r.node, r.comp) for r in components(links, 41).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}

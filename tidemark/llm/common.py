@@ -167,11 +167,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The same rows read from a table written to the shared folder: lineage ends there."""
+#: Rows of a file of an intermediate table whose size is known.
+FILE_ROWS = 500_000
+
+
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
+    """The same rows read from a table written to the shared folder: lineage ends there.
+
+    `rows` is a bound of their number; the table then has no more files than these rows need.
+    """
     spark = df.sparkSession
     at = shared_path(spark, name)
-    df.write.parquet(at)
+    (df if rows is None else df.repartition(max(1, -(-rows // FILE_ROWS)))).write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -27,6 +27,8 @@ SHINGLE = 5
 PERCENT = 80
 #: In groups of up to so many sets with an equal block all pairs are compared, in larger ones each with a leader.
 GROUP = 24
+#: Keys that a task packs at once.
+HELD_KEYS = 1 << 19
 #: Rounds of comparing each large group with one leader, before sketches tell which others to compare.
 ROUNDS = 2
 #: Members of a large group that one task compares by sketches with as many others.
@@ -128,10 +130,25 @@ def _sketch(parts: int, shingle: int, percent: int, hot):
     """Documents as (doc_id, node, n), and their keys packed by destination part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            k, o = np.concatenate(keys), np.concatenate(owners)
+            keys.clear()
+            owners.clear()
+            part = (k >> U64(40)) % U64(parts)
+            order = np.argsort(part, kind="stable")
+            part, both = part[order], np.stack([k[order].view(np.int64), o[order]], 1)
+            first = np.flatnonzero(np.diff(part, prepend=U64(parts)))
+            ends = np.append(first[1:], len(part))
+            return _rows(FOUND_DOC, kind=pa.array(np.full(len(first), PAIR, np.int8)), part=pa.array(part[first].astype(np.int32)), data=pa.array([both[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()))
+
         for batch in batches:
             ids, text = batch.column(0), one_array(batch.column(1))
-            nodes, sizes, sketches, keys, owners = [], [], [], [], []
             for i, j in chunks(text):
+                nodes, sketches, sizes = [], [], []
                 for u in shingle_sets(Words(*text_bytes(text.slice(i, j - i))), shingle):
                     node = set_node(u)
                     got = block_keys(u, percent, hot.value)
@@ -140,15 +157,13 @@ def _sketch(parts: int, shingle: int, percent: int, hot):
                     sketches.append(bit_sketch(u))
                     keys.append(got)
                     owners.append(np.full(len(got), node, np.int64))
-            yield _rows(FOUND_DOC, kind=pa.array(np.full(len(ids), DOC, np.int8)), doc_id=ids, h=batch.column(2), node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()), data=pa.array(sketches, pa.binary()))
-            if keys and len(k := np.concatenate(keys)):
-                o = np.concatenate(owners)
-                part = (k >> U64(40)) % U64(parts)
-                order = np.argsort(part, kind="stable")
-                part, packed = part[order], np.stack([k[order].view(np.int64), o[order]], 1)
-                first = np.flatnonzero(np.diff(part, prepend=U64(parts)))
-                ends = np.append(first[1:], len(part))
-                yield _rows(FOUND_DOC, kind=pa.array(np.full(len(first), PAIR, np.int8)), part=pa.array(part[first].astype(np.int32)), data=pa.array([packed[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()))
+                    held += len(got)
+                yield _rows(FOUND_DOC, kind=pa.array(np.full(j - i, DOC, np.int8)), doc_id=ids.slice(i, j - i), h=batch.column(2).slice(i, j - i), node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()), data=pa.array(sketches, pa.binary()))
+                if held >= HELD_KEYS:
+                    yield packed()
+                    held = 0
+        if held:
+            yield packed()
 
     return run
 
@@ -304,19 +319,24 @@ def hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return found.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toArrow()["shingle"].to_numpy().view(U64)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int, known: DataFrame | None = None) -> DataFrame:
     """(node, comp) of all nodes in `links` (a, b): comp is the least node reachable.
 
     Each round takes the least label among neighbours, then the label of that label; every round's
-    labels are a table in the shared folder. Rounds follow the logarithm of the longest path.
+    labels are a table in the shared folder. Rounds follow the logarithm of the longest path. `rows` is a
+    bound of the number of links, `known` the components of a part of them.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", 2 * rows)
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node")
+    if known is not None:
+        before = known.withColumnRenamed("comp", "__c")
+        labels = labels.join(before, "node", "left").select("node", F.least("comp", "__c").alias("comp"))
+    labels = cut(labels, "labels", 2 * rows)
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        new = cut(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels")
+        new = cut(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels", 2 * rows)
         changed = new.where("old <> comp").limit(1).count()
         labels = new.select("node", "comp")
         if not changed:
@@ -343,14 +363,15 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 16 * width
+    parts = 4 * width
     hot = spark.sparkContext.broadcast(Hot(hot_shingles(docs, shingle)))
     staged = docs.mapInArrow(_sketch(parts, shingle, percent, hot), STAGE)
     dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("node"), F.lit(parts))))
     found = cut(dealt.mapInArrow(_meet(group), FOUND), "met")
     nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
-    members = cut(found.where(f"kind = {MEMBER}").select("key", "node"), "members")
-    prints = cut(found.where(f"kind = {DOC} and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "sketches")
+    members = found.where(f"kind = {MEMBER}").select("key", "node")
+    n_docs, n_members = found.where(f"kind = {DOC}").count(), members.count()
+    prints = cut(found.where(f"kind = {DOC} and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "sketches", n_docs)
 
     def sifted(pairs: DataFrame) -> DataFrame:
         left = prints.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
@@ -359,13 +380,14 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
         return near.select("a", "b", "na", "nb", "x", "y").mapInArrow(_sift(percent), "a long, b long")
 
     pairs = cut(sifted(found.where(f"kind = {PAIR}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "pairs")
+    n_pairs = pairs.count()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
-    chosen = cut(prints.join(wanted, "node", "left_semi").select("doc_id").distinct(), "chosen")
+    chosen = cut(prints.join(wanted, "node", "left_semi").select("doc_id").distinct(), "chosen", min(n_docs, 2 * n_pairs + n_members))
     few = broadcast_if_small(chosen, chosen.count(), BROADCAST_ROWS)
     sets = docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "node long, items array<long>")
     sets = cut(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-    once = cut(sets.groupBy("node").agg(F.min("row").alias("row")), "rows")
-    sets = sets.join(once.select("row"), "row", "left_semi") if once.count() < sets.count() else sets
+    if sets.select("node").distinct().count() < sets.count():
+        sets = sets.join(sets.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -373,14 +395,15 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
         both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
-    links = cut(verified(pairs), "links")
-    comps = components(links)
+    links = cut(verified(pairs), "links", n_pairs)
+    n_links = links.count()
+    comps = components(links, n_links)
     tested = pairs
     for turn in range(rounds + 1):
         # Large groups whose members are not all in one component yet.
         named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         live = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
-        named = cut(named.join(live, "key"), "live")
+        named = cut(named.join(live, "key"), "live", n_members)
         if not named.limit(1).count():
             break
         if turn < rounds:  # the member with most links is compared with all others
@@ -395,15 +418,15 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
             spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumns({"i": F.least("chunk", "o"), "j": F.greatest("chunk", "o")})
             spread = spread.select("key", "i", "j", "chunk", "node", "comp").join(prints.select("node", "n", "sketch"), "node")
             new = spread.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-        new = cut(sifted(new.distinct().join(tested, ["a", "b"], "left_anti")), "new")
+        new = cut(sifted(new.distinct().join(tested, ["a", "b"], "left_anti")), "new", n_members)
         tested = tested.union(new)
-        more = cut(verified(new), "links")
+        more = cut(verified(new), "links", n_members)
         if more.limit(1).count():
-            links = links.union(more)
-            comps = components(links)
+            links, n_links = links.union(more), n_links + more.count()
+            comps = components(links, n_links, comps)
 
     ids = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = cut(ids.where("n > 0"), "ids")
+    ids = cut(ids.where("n > 0"), "ids", n_docs)
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = ids.join(least, "comp").join(degree, "node", "left").select("doc_id", "h", "comp", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
@@ -416,7 +439,7 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     Texts without words are linked with nothing and all stay. Among rows of a group with the least doc_id
     the text's hash decides; of rows alike in both, one stays.
     """
-    found = cut(classes(docs, **params).where("n_shingles > 0").select("doc_id", "h", "comp"), "classes")
+    found = cut(classes(docs, **params).where("n_shingles > 0").select("doc_id", "h", "comp"), "classes", docs.count())
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))
     kept = found.groupBy("comp").agg(F.min(order).alias("k")).select("comp", "k.doc_id", "k.h")
     mark = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__d"), F.col("h").alias("__h")]
@@ -432,3 +455,20 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
         twice = broadcast_if_small(twice, n, BROADCAST_ROWS)
         left = left.join(twice, ["__d", "__h"], "left_anti").unionByName(left.join(twice, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]))
     return left.select(*docs.columns)
+
+
+#: The same in DuckDB, by comparing every two documents that share a shingle; for small tables.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {documents}),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+c AS (SELECT k, min(doc_id) AS node, any_value(n) AS n FROM n GROUP BY k),
+t AS (SELECT c.node, s.g FROM c JOIN s ON s.doc_id = c.node),
+p AS (SELECT a.node AS x, b.node AS y, count(*) AS i FROM t a JOIN t b ON a.g = b.g AND a.node <> b.node GROUP BY a.node, b.node),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.node = x JOIN c cy ON cy.node = y WHERE 100 * i >= 80 * (cx.n + cy.n - i)),
+r(a, b) AS (SELECT node, node FROM c UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+e AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(e.links, 0) AS n_links, coalesce(m.least, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN m ON m.a = c.node LEFT JOIN e ON e.x = c.node
+"""
