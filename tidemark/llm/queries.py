@@ -71,4 +71,8 @@ QUERIES = {
         op10_warc,
     )
 }
-ORACLES = {"op8_mixing": mixing.SQL.format(documents="documents")}
+ORACLES = {
+    "op5_ngram_join": ngram_join.SQL.format(documents="documents"),
+    "op8_mixing": mixing.SQL.format(documents="documents"),
+    "op10_warc": warc.SQL.format(pages="pages"),
+}

@@ -262,3 +262,14 @@ def archive_pages(pages: DataFrame, *, min_bytes: int = MIN_BYTES, compress: boo
     return read_archives(pages.sparkSession, folder, block_bytes=block_bytes)
 
 
+
+
+#: The same in DuckDB, for min_bytes 0 and distinct page ids: 32 groups of five bits from the 40 hex digits.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '0' AS h FROM {pages}),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((((instr('0123456789abcdef', substr(h, 1 + 5 * i // 4, 1)) - 1) * 16
+        + instr('0123456789abcdef', substr(h, 2 + 5 * i // 4, 1)) - 1) >> (3 - i % 4)::INT) & 31))::INT, 1)), '') AS payload_digest
+FROM q
+"""
