@@ -230,12 +230,14 @@ def train(labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_
 
     A language's texts are sampled by a hash of the text, `sample_docs` of them in expectation for
     training and as many for calibration, whole texts until there are `sample_chars` characters. Rows
-    with null text or lang are left out, so repeated texts are sampled together.
+    with null text or lang are left out; of copies in a language one is taken.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text")
     counts = rows.groupBy("lang").count()
     pick = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang").withColumn("__pick", pick * F.col("count") / sample_docs).where("__pick < 2")
+    few = F.broadcast(counts) if counts.count() <= 10_000 else counts
+    picked = rows.join(few, "lang").withColumn("__pick", pick * F.col("count") / sample_docs).where("__pick < 2")
+    picked = picked.select("lang", "text", "__pick").dropDuplicates(["lang", "text"])
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         """Whole texts in the order of the hash until each half's characters are reached."""
