@@ -23,23 +23,23 @@ def file_lookup(records: DataFrame, keys: DataFrame, order: list[str]) -> DataFr
 
     Of several records of a key in a file the last by `order` counts.
     """
-    best = newest_wins(of_keys(records, keys), order).select("key", "value", "tombstone")
+    best = newest_wins(of_keys(records, keys), order, keep=["value", "tombstone"])
     outcome = F.when(F.col("tombstone").isNull(), "missing").when(F.col("tombstone"), "deleted").otherwise("found")
     return key_set(keys).join(best, "key", "left").select("key", outcome.alias("outcome"), "value")
 
 
-def deciding(records: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
+def deciding(records: DataFrame, keys: DataFrame, order: list[str], keep: list[str] | None = None) -> DataFrame:
     """The record that decides each requested key that any tier holds, tombstones included.
 
     `order` sorts tiers and files from old to new. All files are read at once and one aggregation takes
     the place of probing tier after tier with the keys that remain.
     """
-    return newest_wins(of_keys(records, keys), order)
+    return newest_wins(of_keys(records, keys), order, keep=keep)
 
 
 def batch_get(records: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
     """(key, value) of the requested keys that are visible; missing and deleted keys have no row."""
-    return visible(deciding(records, keys, order)).select("key", "value")
+    return visible(deciding(records, keys, order, ["value", "tombstone"])).select("key", "value")
 
 
 def remaining_by_file(records: DataFrame, keys: DataFrame, file_rank: str) -> DataFrame:

@@ -15,13 +15,13 @@ def concat(files: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, files)
 
 
-def newest_wins(records: DataFrame, order: list[str], by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
-    """For each key the record that is last by `order`, tombstones included.
+def newest_wins(records: DataFrame, order: list[str], by: list[str] = ["key"], keep: list[str] | None = None) -> DataFrame:  # noqa: B006
+    """For each key the record that is last by `order`, tombstones included; all its columns, or those of `keep`.
 
     One shuffle by key, after each task has kept its own newest record of every key, so a key with many
     versions sends one row from each task. `order` has to tell all versions of a key apart.
     """
-    rest = [c for c in records.columns if c not in by]
+    rest = [c for c in records.columns if c not in by] if keep is None else keep
     best = records.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
     return best.select(*by, *(F.col("r")[c].alias(c) for c in rest))
 
@@ -32,7 +32,7 @@ def visible(records: DataFrame) -> DataFrame:
 
 def live(records: DataFrame, order: list[str]) -> DataFrame:
     """The keys that are visible now, with their values."""
-    return visible(newest_wins(records, order))
+    return visible(newest_wins(records, order, keep=["value", "tombstone"]))
 
 
 def sealed(records: DataFrame, ordinal: str = "ordinal") -> DataFrame:

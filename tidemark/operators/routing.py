@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .merge import newest_wins, visible
 
 #: Up to so many start keys a sorted array in each task routes; more of them are merged by a sort.
-ARRAY_STARTS = 10_000
+ARRAY_STARTS = 512
 
 
 def route(keys: DataFrame, starts: DataFrame, *, strict: bool = False) -> DataFrame:
@@ -65,4 +65,4 @@ def partition_lookup(keys: DataFrame, partitions: DataFrame, records: DataFrame)
     """
     wanted = route(keys.select("key").distinct(), partitions)
     placed = records.join(runs(partitions), "path")
-    return visible(newest_wins(placed.join(wanted, ["key", "start_key"]), ["run_pos"])).select("key", "value")
+    return visible(newest_wins(placed.join(wanted, ["key", "start_key"]), ["run_pos"], keep=["value", "tombstone"])).select("key", "value")
