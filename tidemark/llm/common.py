@@ -194,3 +194,10 @@ def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def publish(fs, own: str, final: str) -> None:
+    """Gives a finished file its name; a file that an earlier attempt of the task left there goes."""
+    if fs.get_file_info(final).is_file:
+        fs.delete_file(final)
+    fs.move(own, final)

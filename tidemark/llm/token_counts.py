@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, cut, list_array, one_array, open_fs, shared_path
+from .common import chunks, cut, list_array, one_array, open_fs, publish, shared_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text into pieces that are encoded one by one; a fixed value of the tokenizer's format.
@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, se
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(batch), pa.string()), pa.array(np.arange(n, n + len(batch))), batch.column(0)], names=["file", "ordinal", "doc_id"])
                 n += len(batch)
         if n:
-            fs.move(own, f"{path}/{name}")
+            publish(fs, own, f"{path}/{name}")
         else:
             fs.delete_file(own)
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, one_array, open_fs, shared_path
+from .common import broadcast_if_small, cut, one_array, open_fs, publish, shared_path
 
 MAGIC = b"WARC/1."
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = MIN_BYTES,
                     out.write(data)
                     n, size = n + 1, size + len(data)
         if n:
-            fs.move(own, f"{path}/{name}")
+            publish(fs, own, f"{path}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], names=["file", "records", "bytes"])
         else:
             fs.delete_file(own)
