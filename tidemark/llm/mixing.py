@@ -70,12 +70,13 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int
     stream's length starts again from the head, up to `cap` times.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, the last. Null doc_id:
-    a row like any other. Rows alike in all of doc_id, source and size are interchangeable. An empty table
+    a row like any other, placed by its text. Rows alike in all of doc_id, source and size are interchangeable. An empty table
     gives an empty one. Columns of `docs` named like the results or beginning with "__" are replaced.
     """
     made = ("size", "source_size", "target", "taken")
     rows = docs.drop(*[c for c in docs.columns if c in made or c.startswith("__")])
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("-"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), name).cast("binary"))
     rows = rows.withColumn("size", word_count(F.col("text"))).withColumn("__key", key)
     small = cut(rows.select("source", "size", "__key"), "sizes")
 
@@ -110,7 +111,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int
 
 #: The same in DuckDB, for default parameters.
 SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '-')) AS k FROM {{documents}}),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, md5(text), '-')) AS k FROM {{documents}}),
 f AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
 w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][((r - 1) % {len(WEIGHTS)} + 1)::INT]::BIGINT AS w, source_size * {CAP} AS cap FROM f),
 v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv FROM w WINDOW b AS (ORDER BY cap::DOUBLE / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
