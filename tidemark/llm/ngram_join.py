@@ -120,8 +120,8 @@ def set_node(u: np.ndarray) -> int:
 
 
 def bit_sketch(u: np.ndarray) -> bytes:
-    """The parity of a set's elements by the low bits of their hash, in at least as many bits as elements."""
-    bits = 1 << max(6, int(len(u) - 1).bit_length()) if len(u) else 64
+    """The parity of a set's elements by the low bits of their hash, in four to eight bits for each element."""
+    bits = 1 << max(6, int(len(u) - 1).bit_length() + 2) if len(u) else 64
     odd = (np.bincount((u & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
