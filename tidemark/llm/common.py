@@ -168,7 +168,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows of a file of an intermediate table whose size is known.
-FILE_ROWS = 500_000
+FILE_ROWS = 100_000
 
 
 def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
@@ -187,6 +187,18 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows of a batch that goes to Python; with long texts the session's 10,000 take much memory on both sides.
+BATCH_ROWS = 2_000
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Limits the session's Arrow batches to BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
     """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

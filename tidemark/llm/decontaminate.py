@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, chunks, mix, one_array, text_bytes
+from .common import BASE, U64, Words, chunks, lean, mix, one_array, text_bytes
 
 #: Words of an overlap, and how many of them may be substituted.
 WINDOW = 13
@@ -112,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    spark, out = docs.sparkSession, None
+    spark, out = lean(docs.sparkSession), None
     for ids, texts in _blocks(benchmark, block_items):
         seeds = spark.sparkContext.broadcast((ids, Seeds(texts, window, substitutions)))
 
@@ -139,7 +139,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     Rows with null or empty text stay. No shuffle: each task drops rows as it reads them.
     """
-    spark, at = docs.sparkSession, docs.columns.index("text")
+    spark, at = lean(docs.sparkSession), docs.columns.index("text")
     for _, texts in _blocks(benchmark.select("item_id", "text"), block_items):
         seeds = spark.sparkContext.broadcast(Seeds(texts, window, substitutions))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, chunks, one_array
+from .common import BASE, U64, chunks, lean, one_array
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -270,7 +270,7 @@ def identify(docs: DataFrame, model: Model, *, only_accepted: bool = False) -> D
     made = ("lang_pred", "score", "rejected")
     rows = docs if only_accepted else docs.drop(*[c for c in docs.columns if c in made])
     columns = rows.columns
-    at, shared = columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
+    at, shared = columns.index("text"), lean(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, U64, Words, broadcast_if_small, chunks, cut, list_array, mix, one_array, powers, text_bytes
+from .common import BASE, INVERSE, U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, powers, text_bytes
 
 #: Any repeated run of so many words is found and deleted.
 MIN_WORDS = 50
@@ -133,6 +133,7 @@ def _delete(text: str | None, runs: list[dict] | None) -> tuple[str | None, int]
 
 def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """(__d, __h, runs): for each text with deletions the ranges of line numbers that go."""
+    lean(docs.sparkSession)
     gram_words = min(gram_words, min_words)
     keyed = docs.select(*_keys(), "text").where("text is not null")
     lines = cut(keyed.mapInArrow(_line_table, LINES), "lines")

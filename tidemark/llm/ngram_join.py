@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, broadcast_if_small, chunks, cut, list_array, mix, one_array, shingle_sets, text_bytes
+from .common import U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, shingle_sets, text_bytes
 
 SHINGLE = 5
 #: Similarity in per cent, as integers on both sides of the comparison.
@@ -360,7 +360,7 @@ def similarity_classes(docs: DataFrame, **params) -> DataFrame:
 
 def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
     """What similarity_classes returns, with the hash of the text and the component's node."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, cut, list_array, one_array, open_fs, publish, shared_path
+from .common import chunks, cut, lean, list_array, one_array, open_fs, publish, shared_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text into pieces that are encoded one by one; a fixed value of the tokenizer's format.
@@ -40,6 +40,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, se
     Files hold little-endian uint16, or uint32 where the separator needs it. A task writes under a name of
     its own and renames at the end, so a task that is run again replaces its file. Null texts are empty.
     """
+    lean(docs.sparkSession)
     kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 

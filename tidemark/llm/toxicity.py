@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEPARATOR, U64, Words, broadcast_if_small, chunks, cut, one_array, text_bytes
+from .common import LOWER, SEPARATOR, U64, Words, broadcast_if_small, chunks, cut, lean, one_array, text_bytes
 
 #: Labelled texts that the model learns from at most (in expectation); the rest of the labels is not read.
 SAMPLE_DOCS = 12_000
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> Dat
     made = ("score", "predicted")
     rows = docs.drop(*[c for c in docs.columns if c in made])
     columns = rows.columns
-    at, shared = columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
+    at, shared = columns.index("text"), lean(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, one_array, open_fs, publish, shared_path
+from .common import broadcast_if_small, cut, lean, one_array, open_fs, publish, shared_path
 
 MAGIC = b"WARC/1."
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -93,6 +93,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = MIN_BYTES,
     are pages without page_id where no page of the payload has one. A task writes under a name of its own
     and renames at the end.
     """
+    lean(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     key = F.sha1(F.col("html").cast("binary"))
     seen = rows.where(F.octet_length("html") >= min_bytes).groupBy(key.alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last"))
