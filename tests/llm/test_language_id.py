@@ -1,9 +1,9 @@
 import math
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
-from tidemark.llm.language_id import DISCOUNT, KneserNey, Model, _symbols, identify, train
+from tidemark.llm.language_id import DISCOUNT, KneserNey, Model, identify, train
 
 
 def brute(texts, order):

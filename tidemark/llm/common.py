@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..sources.location import open_fs as open_fs
 
 U64 = np.uint64
@@ -192,7 +193,8 @@ BATCH_ROWS = 2_000
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Limits the session's Arrow batches to BATCH_ROWS."""
+    """Limits the session's Arrow batches to BATCH_ROWS, and sees that the executors have this package."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
