@@ -6,6 +6,8 @@ lower-cased. They are found and hashed for a whole batch of texts at once, on th
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -159,7 +161,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.conf.get("spark.tidemark.shared.dir", None)
         if not at:
-            at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+            own = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            at = f"file://{own}"
             spark.conf.set("spark.tidemark.shared.dir", at)
     return at.rstrip("/")
 
