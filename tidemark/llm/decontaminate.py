@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, chunks, lean, mix, one_array, text_bytes
+from .common import BASE, U64, Words, chunks, lean, mix, one_array, text_bytes, tidy
 
 #: Words of an overlap, and how many of them may be substituted.
 WINDOW = 13
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
-        found = docs.mapInArrow(probe, f"doc_id {id_type}, item_id {item_type}, overlap long, word long")
+        found = docs.mapInArrow(tidy(probe), f"doc_id {id_type}, item_id {item_type}, overlap long, word long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -151,5 +151,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                         keep[i + doc] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(tidy(clean), docs.schema)
     return docs

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, chunks, lean, one_array
+from .common import BASE, U64, chunks, lean, one_array, tidy
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -277,12 +277,12 @@ def identify(docs: DataFrame, model: Model, *, only_accepted: bool = False) -> D
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             text = one_array(batch.column(at))
-            best, score, reject = (np.concatenate(x) if x else np.zeros(0) for x in zip(*(model.predict(text.slice(i, j - i).to_pylist()) for i, j in chunks(text, 1 << 20)), strict=True)) if len(text) else ([], [], np.zeros(0, bool))
+            best, score, reject = (np.concatenate(x) if x else np.zeros(0) for x in zip(*(model.predict(text.slice(i, j - i).to_pylist()) for i, j in chunks(text, 1 << 18)), strict=True)) if len(text) else ([], [], np.zeros(0, bool))
             if only_accepted:
                 yield batch.filter(pa.array(~reject))
             else:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[np.asarray(best, int)], pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=[*columns, *made])
 
     if only_accepted:
-        return rows.mapInArrow(run, rows.schema)
-    return rows.mapInArrow(run, rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema)
+        return rows.mapInArrow(tidy(run), rows.schema)
+    return rows.mapInArrow(tidy(run), rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, powers, text_bytes
+from .common import BASE, INVERSE, U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, powers, text_bytes, tidy
 
 #: Any repeated run of so many words is found and deleted.
 MIN_WORDS = 50
@@ -136,12 +136,12 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: in
     lean(docs.sparkSession)
     gram_words = min(gram_words, min_words)
     keyed = docs.select(*_keys(), "text").where("text is not null")
-    lines = cut(keyed.mapInArrow(_line_table, LINES), "lines")
-    prints = lines.mapInArrow(_fingerprints(gram_words, min_words), "fp long, __d long, __h long, pos int")
+    lines = cut(keyed.mapInArrow(tidy(_line_table), LINES), "lines")
+    prints = lines.mapInArrow(tidy(_fingerprints(gram_words, min_words)), "fp long, __d long, __h long, pos int")
     place = F.struct("__d", "__h", "pos")
     repeated = prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
     hits = prints.join(repeated, "fp", "left_semi").groupBy("__d", "__h").agg(F.collect_set("pos").alias("hits"))
-    seg = lines.join(hits, ["__d", "__h"]).select("__d", "__h", "line", "hash", "words", "hits").mapInArrow(_segments(min_words), "seg long, __d long, __h long, pos int, first int, last int")
+    seg = lines.join(hits, ["__d", "__h"]).select("__d", "__h", "line", "hash", "words", "hits").mapInArrow(tidy(_segments(min_words)), "seg long, __d long, __h long, pos int, first int, last int")
     seg = cut(seg, "segments")
     first = seg.groupBy("seg").agg(F.min(place).alias("origin"))
     later = seg.join(first, "seg").where(place > F.col("origin"))
@@ -188,4 +188,4 @@ def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: int =
             yield out if keep.all() else out.filter(pa.array(keep))
 
     schema = rows.schema if not count else rows.withColumn(count, F.lit(0).cast("long")).schema
-    return joined.select(*names, "__runs").mapInArrow(apply, schema)
+    return joined.select(*names, "__runs").mapInArrow(tidy(apply), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, shingle_sets, text_bytes
+from .common import U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, shingle_sets, text_bytes, tidy
 
 SHINGLE = 5
 #: Similarity in per cent, as integers on both sides of the comparison.
@@ -315,7 +315,7 @@ def hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     share = min(1.0, HOT_SAMPLE / max(1, rows))
     sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(1 << 20)) < share * (1 << 20))
     least = max(8, int(min(rows, HOT_SAMPLE) * HOT_SHARE))
-    found = sample.mapInArrow(_common(shingle, 2), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = sample.mapInArrow(tidy(_common(shingle, 2)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return found.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toArrow()["shingle"].to_numpy().view(U64)
 
 
@@ -365,9 +365,9 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width
     hot = spark.sparkContext.broadcast(Hot(hot_shingles(docs, shingle)))
-    staged = docs.mapInArrow(_sketch(parts, shingle, percent, hot), STAGE)
+    staged = docs.mapInArrow(tidy(_sketch(parts, shingle, percent, hot)), STAGE)
     dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("node"), F.lit(parts))))
-    found = cut(dealt.mapInArrow(_meet(group), FOUND), "met")
+    found = cut(dealt.mapInArrow(tidy(_meet(group)), FOUND), "met")
     nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
     members = found.where(f"kind = {MEMBER}").select("key", "node")
     n_docs, n_members = found.where(f"kind = {DOC}").count(), members.count()
@@ -377,14 +377,14 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
         left = prints.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
         right = prints.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
         near = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        return near.select("a", "b", "na", "nb", "x", "y").mapInArrow(_sift(percent), "a long, b long")
+        return near.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(_sift(percent)), "a long, b long")
 
     pairs = cut(sifted(found.where(f"kind = {PAIR}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "pairs")
     n_pairs = pairs.count()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
     chosen = cut(prints.join(wanted, "node", "left_semi").select("doc_id").distinct(), "chosen", min(n_docs, 2 * n_pairs + n_members))
     few = broadcast_if_small(chosen, chosen.count(), BROADCAST_ROWS)
-    sets = docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "node long, items array<long>")
+    sets = docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(tidy(_sets(shingle)), "node long, items array<long>")
     sets = cut(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     if sets.select("node").distinct().count() < sets.count():
         sets = sets.join(sets.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")

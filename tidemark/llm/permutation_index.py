@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, one_array
+from .common import cut, one_array, tidy
 
 #: Pivots are a bounded sample of the vectors; each vector is represented by its PREFIX nearest, in order.
 PIVOTS = 512
@@ -115,7 +115,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, neighbours: int = NEIGHBOURS
                 got = [(query_ids[i], *shard.search(query_ids[i], q[i], near[i], take, neighbours)) for i in range(a, min(a + 256, len(query_ids)))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in got], [len(x[1]) for x in got]), pa.int64()), pa.array(np.concatenate([x[1] for x in got])), pa.array(np.concatenate([x[2] for x in got]))], names=["query_id", "vec_id", "score"])
 
-        part = dealt.mapInArrow(run, schema)
+        part = dealt.mapInArrow(tidy(run), schema)
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, cut, lean, list_array, one_array, open_fs, publish, shared_path
+from .common import chunks, cut, lean, list_array, one_array, open_fs, publish, shared_path, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text into pieces that are encoded one by one; a fixed value of the tokenizer's format.
@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, se
         else:
             fs.delete_file(own)
 
-    return cut(rows.mapInArrow(run, "file string, ordinal long, doc_id long"), "written")
+    return cut(rows.mapInArrow(tidy(run), "file string, ordinal long, doc_id long"), "written")
 
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +99,7 @@ def scan(spark: SparkSession, folder: str, *, separator: int = SEPARATOR, block_
                 at = np.flatnonzero(ids == separator) + begin
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n]), pa.array([begin]), list_array(at, np.array([len(at)]), pa.int64())], names=["file", "n", "begin", "ends"])
 
-    found = blocks.mapInArrow(run, "file string, n long, begin long, ends array<long>")
+    found = blocks.mapInArrow(tidy(run), "file string, n long, begin long, ends array<long>")
     before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("first", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))).withColumn("open", F.coalesce(F.max(F.array_max("ends")).over(before) + 1, F.lit(0)))
     last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("begin"))) == 1

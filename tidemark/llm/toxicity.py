@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEPARATOR, U64, Words, broadcast_if_small, chunks, cut, lean, one_array, text_bytes
+from .common import LOWER, SEPARATOR, U64, Words, broadcast_if_small, chunks, cut, lean, one_array, text_bytes, tidy
 
 #: Labelled texts that the model learns from at most (in expectation); the rest of the labels is not read.
 SAMPLE_DOCS = 12_000
@@ -221,7 +221,7 @@ def train(labelled: DataFrame, *, learnt_words: int = LEARNT_WORDS) -> Model:
 
     fit = rows.where("not calibrate")
     n, bad = fit.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
-    words = fit.select("text", "toxic").mapInArrow(spread, "word long, toxic double").groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("c"))
+    words = fit.select("text", "toxic").mapInArrow(tidy(spread), "word long, toxic double").groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("c"))
     share = bad / max(n, 1)
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") - F.col("t") + 0.5) / (n - bad + 1))
     strength = (F.col("t") - share * F.col("c")) / F.sqrt(F.col("c") * share * (1 - share) + 1)
@@ -235,7 +235,7 @@ def train(labelled: DataFrame, *, learnt_words: int = LEARNT_WORDS) -> Model:
             x = np.concatenate([shared.value.features(text.slice(i, j - i)) for i, j in chunks(text)]) if len(text) else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(x.shape[1])), batch.column(1), batch.column(2)], names=[*FEATURES, "toxic", "calibrate"])
 
-    table = rows.mapInArrow(dense, ", ".join(f"{f} double" for f in FEATURES) + ", toxic double, calibrate boolean").toArrow()
+    table = rows.mapInArrow(tidy(dense), ", ".join(f"{f} double" for f in FEATURES) + ", toxic double, calibrate boolean").toArrow()
     x = np.stack([table[f].to_numpy() for f in FEATURES], 1)
     y, calibrate = table["toxic"].to_numpy(), table["calibrate"].to_numpy()
     order = np.lexsort((y, *x.T))
@@ -271,4 +271,4 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> Dat
             got = np.concatenate([shared.value.scores(text.slice(i, j - i)) for i, j in chunks(text)]) if len(text) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*columns, *made])
 
-    return rows.mapInArrow(run, rows.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return rows.mapInArrow(tidy(run), rows.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, lean, one_array, open_fs, publish, shared_path
+from .common import broadcast_if_small, cut, lean, one_array, open_fs, publish, shared_path, tidy
 
 MAGIC = b"WARC/1."
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = MIN_BYTES,
         else:
             fs.delete_file(own)
 
-    return cut(joined.mapInArrow(run, "file string, records long, bytes long"), "archives")
+    return cut(joined.mapInArrow(tidy(run), "file string, records long, bytes long"), "archives")
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +213,7 @@ def candidates(spark: SparkSession, folder: str, *, block_bytes: int = BLOCK_BYT
                         names=["file", "block", "offset", "next", "exit", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to"],
                     )
 
-    return cut(blocks.mapInArrow(run, f"file string, block long, offset long, next long, exit long, {FIELDS}"), "candidates")
+    return cut(blocks.mapInArrow(tidy(run), f"file string, block long, offset long, next long, exit long, {FIELDS}"), "candidates")
 
 
 def read_archives(spark: SparkSession, folder: str, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
