@@ -402,16 +402,19 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     for turn in range(rounds + 1):
         # Large groups whose members are not all in one component yet.
         named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        live = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
+        facts = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")]
+        if turn < rounds:  # the member with most links leads
+            degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+            order = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node").alias("h"), F.col("node"), F.col("comp"))
+            live = named.join(degree, "node", "left").groupBy("key").agg(*facts, F.max(order).alias("lead")).where("lo <> hi").select("key", "k", F.col("lead.node").alias("l"), F.col("lead.comp").alias("lc"))
+        else:
+            live = named.groupBy("key").agg(*facts).where("lo <> hi").select("key", "k")
         named = cut(named.join(live, "key"), "live", n_members)
         if not named.limit(1).count():
             break
-        if turn < rounds:  # the member with most links is compared with all others
-            degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            order = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node").alias("h"), F.col("node"), F.col("comp"))
-            lead = named.join(degree, "node", "left").groupBy("key").agg(F.max(order).alias("lead")).select("key", F.col("lead.node").alias("l"), F.col("lead.comp").alias("lc"))
-            new = named.join(lead, "key").where("comp <> lc").select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b"))
-            members = named.join(lead.select("key", F.col("l").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        if turn < rounds:  # and is compared with all others
+            new = named.where("comp <> lc").select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b"))
+            members = named.where("node <> l").select("key", "node")
         else:  # cells of two chunks each compare what is left by sketches
             cells = F.ceil(F.col("k") / chunk)
             spread = named.withColumn("c", cells).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")))
