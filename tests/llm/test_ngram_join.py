@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from tidemark.llm.common import mix
-from tidemark.llm.ngram_join import Hot, block_keys, components, keep_one, similarity_classes
+from tidemark.llm.ngram_join import Hot, block_keys, classes, components, keep_one, similarity_classes
 
 
 def shingles(text, k=5):
@@ -90,3 +90,25 @@ def test_edges(spark):
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.comp) for r in components(links, 41).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_links_are_all_counted(spark):
+    """Families of more than GROUP variants, of which some are linked and others only through a third."""
+    rng = random.Random(5)
+    docs = []
+    for family in range(2):
+        base = [f"f{family}w{k}" for k in range(200)]
+        for _ in range(60):
+            text = list(base)
+            for _ in range(rng.choice([1, 1, 1, 1, 1, 3])):
+                text[rng.randrange(len(text))] = f"x{rng.random()}"
+            docs.append((len(docs), " ".join(text)))
+    docs += [(1000 + k, docs[k][1].upper()) for k in range(9)]
+    sets = {d: frozenset(shingles(t)) for d, t in docs}
+    distinct = set(sets.values())
+    links = {a: sum(a != b and len(a & b) * 100 >= 80 * len(a | b) for b in distinct) for a in distinct}
+    assert len(set(links.values())) > 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for params in ({}, {"group": 3, "rounds": 1, "chunk": 2, "counted": 700}):
+        got = classes(df, **params).collect()
+        assert {r.doc_id: r.n_links for r in got} == {d: links[x] for d, x in sets.items()} and len(got) == len(docs)

@@ -33,6 +33,8 @@ HELD_KEYS = 1 << 19
 ROUNDS = 2
 #: Members of a large group that one task compares by sketches with as many others.
 CHUNK = 2048
+#: Shingles of the sets that one task counts links of, with as many others.
+COUNTED_ITEMS = 1 << 21
 #: Shingles of so large a share of a sample of so many texts are hot; at most so many (2 MB) are told to all tasks.
 HOT_SHARE, HOT_SAMPLE, HOT_SHINGLES = 0.004, 20_000, 1 << 18
 #: Node tables of up to so many rows (16 MB) are broadcast, larger ones shuffled.
@@ -296,6 +298,33 @@ def _compare(percent: int):
     return run
 
 
+def _count(percent: int):
+    """(node, n): each node's links inside one cell (chunk i against chunk j of a component), from the sets themselves."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, chunk, node = (table[c].to_numpy() for c in ("i", "j", "chunk", "node"))
+        items = table["items"].combine_chunks()
+        n = np.diff(items.offsets.to_numpy()).astype(np.int64)
+        _, place = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(n)])
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        beside = np.concatenate([place[first[k] : first[k + 1]] for k in right]) if len(right) else place[:0]
+        starts = np.concatenate([[0], np.cumsum(n[right])[:-1]]) if len(right) else right
+        mark, links = np.zeros(len(place), bool), np.zeros(len(node), np.int64)
+        for k in left if len(right) else left[:0]:
+            own = place[first[k] : first[k + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[beside], starts, dtype=np.int64)
+            mark[own] = False
+            linked = (both * 100 >= (n[k] + n[right] - both) * percent) & (node[right] != node[k])
+            links[k] += linked.sum()
+            if i[0] != j[0]:
+                links[right[linked]] += 1
+        return pa.table({"node": node, "n": links})
+
+    return run
+
+
 def _common(shingle: int, least: int):
     """Shingles of at least `least` texts of a batch, with the number."""
 
@@ -349,17 +378,21 @@ def similarity_classes(docs: DataFrame, **params) -> DataFrame:
     Two rows are linked when their sets of distinct `shingle`-word shingles have a Jaccard similarity of
     at least `percent`; component_id is the least doc_id that links lead to. A text of fewer words is one
     shingle; one without words (or null) has none and is its own component. Equal sets are one node, so
-    copies are never compared; n_links counts the other nodes with a verified link, a lower bound in
-    groups of more than `group` sets, where links that can't change a component may go uncompared. Rows
+    copies are never compared; n_links counts the other nodes with a verified link. Rows
     without doc_id count like others, but give no component an id: component_id is null where no row has
     one. An empty table gives an empty one. Nodes are 64-bit hashes of sets. `params`: shingle, percent,
-    group (above so many members leaders are compared first), rounds of leaders, chunk.
+    group (above so many members leaders are compared first), rounds of leaders, chunk, counted.
     """
     return classes(docs, **params).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
-def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
-    """What similarity_classes returns, with the hash of the text and the component's node."""
+def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, rounds: int = ROUNDS, chunk: int = CHUNK, count: bool = True, counted: int = COUNTED_ITEMS) -> DataFrame:
+    """What similarity_classes returns, with the hash of the text and the component's node.
+
+    In groups of more than `group` sets links that can't change a component are not looked for on the way.
+    With `count`, components of these sets are compared whole at the end, in cells of two chunks of about
+    `counted` shingles that give numbers of links, not pairs; without, n_links is a lower bound there.
+    """
     spark = lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -370,6 +403,7 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     found = cut(dealt.mapInArrow(tidy(_meet(group)), FOUND), "met")
     nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
     members = found.where(f"kind = {MEMBER}").select("key", "node")
+    large = members.select("node").distinct()
     n_docs, n_members = found.where(f"kind = {DOC}").count(), members.count()
     prints = cut(found.where(f"kind = {DOC} and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "sketches", n_docs)
 
@@ -432,6 +466,16 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     ids = cut(ids.where("n > 0"), "ids", n_docs)
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    if count and n_members:
+        sized = comps.join(prints.select("node", "n"), "node")
+        open_ = sized.join(large.withColumn("large", F.lit(1)), "node", "left").groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"), F.count("large").alias("large"))
+        open_ = open_.where("k > 2 and large > 1").select("comp", F.ceil(F.col("items") / counted).alias("c"))
+        spread = comps.join(open_, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")))
+        spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumns({"i": F.least("chunk", "o"), "j": F.greatest("chunk", "o")})
+        cells = spread.select("comp", "i", "j", "chunk", "node").join(sets.select("node", "items"), "node")
+        whole = cells.groupBy("comp", "i", "j").applyInArrow(_count(percent), "node long, n long").groupBy("node").agg(F.sum("n").alias("whole"))
+        whole = cut(whole, "counted", n_docs)
+        degree = degree.join(whole, "node", "left").select("node", F.coalesce("whole", "n_links").alias("n_links"))
     named = ids.join(least, "comp").join(degree, "node", "left").select("doc_id", "h", "comp", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
     return named.union(nodes.where("n = 0").select("doc_id", "h", "node", F.col("n"), F.lit(0).cast("long"), F.col("doc_id")))
 
@@ -442,7 +486,7 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     Texts without words are linked with nothing and all stay. Among rows of a group with the least doc_id
     the text's hash decides; of rows alike in both, one stays.
     """
-    found = cut(classes(docs, **params).where("n_shingles > 0").select("doc_id", "h", "comp"), "classes", docs.count())
+    found = cut(classes(docs, **params, count=False).where("n_shingles > 0").select("doc_id", "h", "comp"), "classes", docs.count())
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))
     kept = found.groupBy("comp").agg(F.min(order).alias("k")).select("comp", "k.doc_id", "k.h")
     mark = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__d"), F.col("h").alias("__h")]
