@@ -112,3 +112,19 @@ def test_links_are_all_counted(spark):
     for params in ({}, {"group": 3, "rounds": 1, "chunk": 2, "counted": 700}):
         got = classes(df, **params).collect()
         assert {r.doc_id: r.n_links for r in got} == {d: links[x] for d, x in sets.items()} and len(got) == len(docs)
+
+
+def test_near_copies_without_id(spark):
+    """Sets that only rows without doc_id hold have links, and lead from one set to another."""
+    words = [f"w{k}" for k in range(60)]
+    head = ["a", "b", "c", "d", *words[4:]]
+    chain = [" ".join(x) for x in (words, head, [*head[:-4], "e", "f", "g", "h"])]
+    lone = " ".join(f"n{k}" for k in range(40))
+    docs = [(7, chain[0]), (None, chain[1]), (5, chain[2]), (None, lone), (None, lone + " x"), (None, lone + " x")]
+    assert brute(docs)[:3] != brute([d for d in docs if d[0] is not None])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = similarity_classes(df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs)
+    assert sorted(r.n_links for r in got) == [1, 1, 1, 1, 1, 2]
+    kept = keep_one(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["5", "None"]

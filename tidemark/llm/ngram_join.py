@@ -405,7 +405,9 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     members = found.where(f"kind = {MEMBER}").select("key", "node")
     large = members.select("node").distinct()
     n_docs, n_members = found.where(f"kind = {DOC}").count(), members.count()
-    prints = cut(found.where(f"kind = {DOC} and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "sketches", n_docs)
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("h"))).alias("row")
+    prints = found.where(f"kind = {DOC}").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), row)
+    prints = cut(prints.select("node", "n", "sketch", F.col("row.d").alias("__d"), F.col("row.h").alias("h")), "sketches", n_docs)
 
     def sifted(pairs: DataFrame) -> DataFrame:
         left = prints.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
@@ -416,9 +418,10 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     pairs = cut(sifted(found.where(f"kind = {PAIR}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "pairs")
     n_pairs = pairs.count()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
-    chosen = cut(prints.join(wanted, "node", "left_semi").select("doc_id").distinct(), "chosen", min(n_docs, 2 * n_pairs + n_members))
+    chosen = cut(prints.join(wanted, "node", "left_semi").select("__d", "h").distinct(), "chosen", min(n_docs, 2 * n_pairs + n_members))
     few = broadcast_if_small(chosen, chosen.count(), BROADCAST_ROWS)
-    sets = docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(tidy(_sets(shingle)), "node long, items array<long>")
+    keyed = docs.withColumn("__d", F.coalesce("doc_id", F.lit(-(2**63))))
+    sets = keyed.join(few, ["__d", "h"], "left_semi").select("text").mapInArrow(tidy(_sets(shingle)), "node long, items array<long>")
     sets = cut(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     if sets.select("node").distinct().count() < sets.count():
         sets = sets.join(sets.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
