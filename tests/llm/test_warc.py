@@ -48,3 +48,13 @@ def test_damage_ends_the_chain(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"".join(good)[:-3])
     got = warc.read_archives(spark, f"file://{tmp_path}", block_bytes=64).collect()
     assert sorted((r.file, r.page_id) for r in got) == [("a.warc", 0), ("a.warc", 1), *(("b.warc", k) for k in range(4))]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("block", [5000, 1 << 22])
+def test_long_urls(spark, compress, block):
+    rows = [(k, f"http://h/{k}" + "x" * (300_000 if k in (2, 5) else 0), f"WARC/1.1 body {k}") for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    got = warc.archive_pages(df, compress=compress, block_bytes=block)
+    assert sorted(map(tuple, got.select(COLUMNS).collect()), key=str) == expected(rows)
+    assert {r.page_id: r.url for r in got.collect()} == {p: u for p, u, _ in rows}

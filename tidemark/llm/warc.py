@@ -24,7 +24,7 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_BYTES = 4 << 20
-#: A record's header ends within so many bytes.
+#: So many bytes after a block are read with it; a header that goes on is read to its end.
 HEADER_BYTES = 1 << 16
 MIN_BYTES = 0
 #: Tables of up to so many repeated payloads (under 30 MB) are broadcast, larger ones shuffled.
@@ -60,7 +60,7 @@ def parse(data: bytes) -> tuple[int, dict[bytes, bytes], int] | None:
     """Header end, fields and block length of a record that begins the data; None if none does."""
     if not data.startswith(MAGIC):
         return None
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields = {}
@@ -143,6 +143,7 @@ class _Bytes:
     def __init__(self, f, size: int, begin: int, stop: int):
         self.f, self.size, self.begin = f, size, begin
         self.data = f.read_at(min(stop + HEADER_BYTES, size) - begin, begin)
+        self.searched = (0, -1)
 
     def upto(self, end: int) -> bytes:
         if end - self.begin > len(self.data) and self.begin + len(self.data) < self.size:
@@ -150,8 +151,23 @@ class _Bytes:
             self.data += self.f.read_at(min(max(end - at, 1 << 20), self.size - at), at)
         return self.data
 
+    def blank_line(self, place: int) -> int:
+        """Where the first blank line from there on begins, -1 if there is none; each stretch is searched once."""
+        start, end = self.searched
+        if not start <= place <= end:
+            seek = place
+            while (end := self.data.find(b"\r\n\r\n", seek)) < 0:
+                have = len(self.data)
+                if len(self.upto(self.begin + have + 1)) == have:
+                    end = self.size + 1
+                    break
+                seek = max(place, have - 3)
+            self.searched = (place, end)
+        return end if end <= self.size else -1
+
     def plain(self, at: int) -> tuple[int, tuple] | None:
-        found = parse(self.data[at - self.begin : at - self.begin + HEADER_BYTES])
+        end = self.blank_line(at - self.begin)
+        found = parse(self.data[at - self.begin : end + 4]) if end >= 0 else None
         if not found or at + found[0] + found[2] + 4 > self.size:
             return None
         a, b = at + found[0] - self.begin, at + found[0] + found[2] - self.begin
@@ -255,12 +271,15 @@ def archive_pages(pages: DataFrame, *, min_bytes: int = MIN_BYTES, compress: boo
     """`pages` written as archives in the shared folder and read back, a row for each record.
 
     Null html is an empty payload; a null url leaves its field out, control characters in one become a
-    space; rows without page_id have records too. An empty table gives no archive and no rows. Other
+    space; rows without page_id have records too. An error is raised if not all records are read again. An empty table gives no archive and no rows. Other
     columns are not looked at.
     """
     folder = shared_path(pages.sparkSession, "warc")
-    write_archives(pages, folder, min_bytes=min_bytes, compress=compress)
-    return read_archives(pages.sparkSession, folder, block_bytes=block_bytes)
+    written = write_archives(pages, folder, min_bytes=min_bytes, compress=compress).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    got = cut(read_archives(pages.sparkSession, folder, block_bytes=block_bytes), "records")
+    if (n := got.count()) != written:
+        raise ValueError(f"{n} records read of {written} written")
+    return got
 
 
 
