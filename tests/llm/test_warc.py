@@ -58,3 +58,11 @@ def test_long_urls(spark, compress, block):
     got = warc.archive_pages(df, compress=compress, block_bytes=block)
     assert sorted(map(tuple, got.select(COLUMNS).collect()), key=str) == expected(rows)
     assert {r.page_id: r.url for r in got.collect()} == {p: u for p, u, _ in rows}
+
+
+def test_all_of_bigint(spark):
+    ids = [2**63 - 1, -(2**63), 10**18, -(10**18), 10**18 - 1, 0]
+    rows = [(p, "u", "same" if k < 2 else f"body {k}") for k, p in enumerate(ids)] + [(-(2**63) + 1, "u", "low"), (-(2**63), "u", "low"), (None, "u", "same")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.archive_pages(df).select(COLUMNS).collect()), key=str) == expected(rows)
+    assert warc.described({b"x-page-id": b"9223372036854775808"}, b"")[1] is None

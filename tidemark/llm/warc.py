@@ -10,7 +10,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +74,7 @@ def parse(data: bytes) -> tuple[int, dict[bytes, bytes], int] | None:
 
 def described(fields: dict[bytes, bytes], block: bytes) -> tuple:
     """The columns of FIELDS for a record; the payload is what follows the HTTP header of the block."""
-    number = lambda name: int(fields[name]) if re.fullmatch(rb"-?\d{1,18}", fields.get(name, b"")) else None
+    number = lambda name: x if re.fullmatch(rb"-?\d{1,19}", fields.get(name, b"")) and -(1 << 63) <= (x := int(fields[name])) < 1 << 63 else None
     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
     url = fields[b"warc-target-uri"].decode("utf-8", "replace") if b"warc-target-uri" in fields else None
     if kind == "revisit":
@@ -252,16 +251,16 @@ def read_archives(spark: SparkSession, folder: str, *, block_bytes: int = BLOCK_
         jump = cut(jump.join(far, ["file", "to"], "left").select("file", "at", F.coalesce("far", "to").alias("to")), "jumps")
     entries = reach.select("file", F.col("at").alias("entry")).join(found.select("file", "block", F.col("offset").alias("entry")), ["file", "entry"])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset")
-        place = {x: k for k, x in enumerate(pdf["offset"])}
-        successors, keep, at = pdf["next"].to_numpy(), np.zeros(len(pdf), bool), place.get(pdf["entry"].iloc[0])
+    def walk(table: pa.Table) -> pa.Table:  # not in pandas, where integers with nulls become floats
+        table = table.sort_by("offset")
+        place = {x: k for k, x in enumerate(table["offset"].to_pylist())}
+        successors, keep, at = table["next"].to_numpy(), np.zeros(len(table), bool), place.get(table["entry"][0].as_py())
         while at is not None:
             keep[at] = True
             at = place.get(successors[at])
-        return pdf[keep][["file", "offset", *FIELD_NAMES]]
+        return table.select(["file", "offset", *FIELD_NAMES]).filter(pa.array(keep))
 
-    return found.join(entries, ["file", "block"]).groupBy("file", "block").applyInPandas(walk, f"file string, offset long, {FIELDS}")
+    return found.join(entries, ["file", "block"]).groupBy("file", "block").applyInArrow(walk, f"file string, offset long, {FIELDS}")
 
 
 FIELD_NAMES = [x.split()[0] for x in FIELDS.split(", ")]
