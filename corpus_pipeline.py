@@ -36,8 +36,11 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds what the mix takes of each document, and drops those of which it takes nothing."""
-    return mixing.mix_sources(docs).where("taken > 0")
+    """Adds what the mix takes of each document, and drops those of which it takes nothing.
+
+    A block is one word: with larger ones a source of less than half a block would be dropped whole.
+    """
+    return mixing.mix_sources(docs, block=1).where("taken > 0")
 
 
 STAGES = [
