@@ -70,7 +70,7 @@ def test_against_brute_force(spark):
     rng = random.Random(4)
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for params in ({}, {"group": 3, "rounds": 1, "chunk": 2}):
+    for params in ({}, {"group": 3, "chunk": 2}):
         got = similarity_classes(df, **params)
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
 
@@ -109,7 +109,7 @@ def test_links_are_all_counted(spark):
     links = {a: sum(a != b and len(a & b) * 100 >= 80 * len(a | b) for b in distinct) for a in distinct}
     assert len(set(links.values())) > 1
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for params in ({}, {"group": 3, "rounds": 1, "chunk": 2, "counted": 700}):
+    for params in ({}, {"group": 3, "chunk": 2, "counted": 700}):
         got = classes(df, **params).collect()
         assert {r.doc_id: r.n_links for r in got} == {d: links[x] for d, x in sets.items()} and len(got) == len(docs)
 
@@ -128,3 +128,24 @@ def test_near_copies_without_id(spark):
     assert sorted(r.n_links for r in got) == [1, 1, 1, 1, 1, 2]
     kept = keep_one(df).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["5", "None"]
+
+
+def test_hot_groups_are_dealt_by_node(spark, monkeypatch):
+    """Groups above every bound, dealt over all tasks, and compared with a main component and what is outside it."""
+    from tidemark.llm import ngram_join
+
+    rng, docs = random.Random(8), []
+    base = [f"w{k}" for k in range(120)]
+    for _ in range(90):
+        text = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 9, 30])):
+            text[rng.randrange(len(text))] = f"x{rng.random()}"
+        docs.append((len(docs), " ".join(text)))
+    docs += [(500 + k, t) for k, (_, t) in enumerate(docs[:40])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = brute(docs)
+    assert len({c for *_, c in want}) > 3
+    for least, group in ((4, 3), (10, 3), (50, 24)):
+        monkeypatch.setattr(ngram_join, "KEY_LEAST", least)
+        got = similarity_classes(df, group=group, chunk=7)
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == want

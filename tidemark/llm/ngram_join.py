@@ -25,18 +25,18 @@ from .common import U64, Words, broadcast_if_small, chunks, cut, lean, list_arra
 SHINGLE = 5
 #: Similarity in per cent, as integers on both sides of the comparison.
 PERCENT = 80
-#: In groups of up to so many sets with an equal block all pairs are compared, in larger ones each with a leader.
+#: In groups of up to so many sets with an equal block all pairs are compared, in larger ones each with two leaders first.
 GROUP = 24
 #: Keys that a task packs at once.
 HELD_KEYS = 1 << 19
-#: Rounds of comparing each large group with one leader, before sketches tell which others to compare.
-ROUNDS = 2
 #: Members of a large group that one task compares by sketches with as many others.
 CHUNK = 2048
 #: Shingles of the sets that one task counts links of, with as many others.
 COUNTED_ITEMS = 1 << 21
 #: Shingles of so large a share of a sample of so many texts are hot; at most so many (2 MB) are told to all tasks.
 HOT_SHARE, HOT_SAMPLE, HOT_SHINGLES = 0.004, 20_000, 1 << 18
+#: Keys that so large a share of another sample's sets show are hot: their groups are dealt by node over all tasks.
+KEY_SHARE, KEY_SAMPLE, KEY_LEAST = 0.01, 5_000, 50
 #: Node tables of up to so many rows (16 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 1_000_000
 STAGE = "kind byte, doc_id long, h long, node long, n long, part int, data binary"
@@ -128,19 +128,38 @@ def bit_sketch(u: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def _sketch(parts: int, shingle: int, percent: int, hot):
+class HotKeys:
+    """Keys of large groups, each with two nodes that lead it wherever its rows are."""
+
+    def __init__(self, key: np.ndarray, low: np.ndarray, high: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.low, self.high = key[order], low[order], high[order]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key (signed), -1 if it isn't hot."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+
+def _sketch(parts: int, shingle: int, percent: int, hot, hot_keys):
     """Documents as (doc_id, node, n), and their keys packed by destination part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        seen: set[int] = set()  # copies in a pack show their keys once
         held = 0
 
         def packed() -> pa.RecordBatch:
             k, o = np.concatenate(keys), np.concatenate(owners)
             keys.clear()
             owners.clear()
+            seen.clear()
             part = (k >> U64(40)) % U64(parts)
+            spread = hot_keys.value.find(k.view(np.int64)) >= 0
+            part[spread] = mix(o[spread].view(U64)) % U64(parts)
             order = np.argsort(part, kind="stable")
             part, both = part[order], np.stack([k[order].view(np.int64), o[order]], 1)
             first = np.flatnonzero(np.diff(part, prepend=U64(parts)))
@@ -153,10 +172,13 @@ def _sketch(parts: int, shingle: int, percent: int, hot):
                 nodes, sketches, sizes = [], [], []
                 for u in shingle_sets(Words(*text_bytes(text.slice(i, j - i))), shingle):
                     node = set_node(u)
-                    got = block_keys(u, percent, hot.value)
                     nodes.append(node)
                     sizes.append(len(u))
                     sketches.append(bit_sketch(u))
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    got = block_keys(u, percent, hot.value)
                     keys.append(got)
                     owners.append(np.full(len(got), node, np.int64))
                     held += len(got)
@@ -182,7 +204,8 @@ def _rows(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
 def group_pairs(key: np.ndarray, node: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of nodes with an equal key, and the rows of large groups, from rows sorted by (key, node).
 
-    All pairs of groups of up to `group` nodes; (least node, other) in larger ones, whose rows are returned.
+    All pairs of groups of up to `group` nodes; in larger ones, whose rows are returned, the pairs of the
+    least and of the greatest node with all others. Groups of one family often have the same two leaders.
     """
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
     size = np.diff(np.append(first, len(key)))
@@ -194,17 +217,17 @@ def group_pairs(key: np.ndarray, node: np.ndarray, group: int) -> tuple[np.ndarr
             a.append(node[at[:, None] + x].ravel())
             b.append(node[at[:, None] + y].ravel())
     big = first[size > group]
-    n = size[size > group]
+    n = n_big = size[size > group]
     rows = np.repeat(big - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(big) else np.zeros(0, int)
     if len(rows):
-        lead = np.repeat(node[big], n)
         other = node[rows]
-        a.append(lead[other != lead])
-        b.append(other[other != lead])
+        for lead in (np.repeat(node[big], n), np.repeat(node[big + n_big - 1], n)):
+            a.append(lead[other != lead])
+            b.append(other[other != lead])
     return (np.concatenate(a), np.concatenate(b), rows) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64), rows)
 
 
-def _meet(group: int):
+def _meet(group: int, hot_keys):
     """Pairs and large groups of each part; documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +246,16 @@ def _meet(group: int):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             key, node = key[new], node[new]
-            a, b, big = group_pairs(key, node, group)
+            place = hot_keys.value.find(key)
+            at = np.flatnonzero(place >= 0)
+            a, b, big = group_pairs(key[place < 0], node[place < 0], group)
+            if len(at):
+                big = np.concatenate([np.flatnonzero(place < 0)[big], at])
+                for lead in (hot_keys.value.low[place[at]], hot_keys.value.high[place[at]]):
+                    other = lead != node[at]
+                    a, b = np.concatenate([a, lead[other]]), np.concatenate([b, node[at][other]])
+            else:
+                big = np.flatnonzero(place < 0)[big]
             if len(a):
                 both = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
                 both = both[np.lexsort((both[:, 1], both[:, 0]))]
@@ -274,15 +306,16 @@ def _sift(percent: int):
 
 
 def _compare(percent: int):
-    """Pairs of one cell (chunk i against chunk j of a group) that may be linked, by their sketches."""
+    """Pairs of one cell (a chunk of a group's sets outside its main component against a chunk of the whole
+    group) that may be linked, by their sketches."""
 
     def run(table: pa.Table) -> pa.Table:
-        i, j, chunk = (table[c].to_numpy() for c in ("i", "j", "chunk"))
+        left = table["left"].to_numpy(zero_copy_only=False)
         node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
         sketches = table["sketch"].to_pylist()
         words = min(len(x) for x in sketches) // 8
         folded = np.stack([_fold(x, words) for x in sketches])
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        left, right = np.flatnonzero(left), np.flatnonzero(~left)
         out = []
         for k in range(0, len(left), 32):
             x = left[k : k + 32]
@@ -338,16 +371,30 @@ def _common(shingle: int, least: int):
     return run
 
 
-def hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of a hundredth of a bounded sample of texts, at most HOT_SHINGLES of them."""
-    rows = docs.count()
-    share = min(1.0, HOT_SAMPLE / max(1, rows))
-    sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(1 << 20)) < share * (1 << 20))
-    least = max(8, int(min(rows, HOT_SAMPLE) * HOT_SHARE))
-    found = sample.mapInArrow(tidy(_common(shingle, 2)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def hot_shingles(sample: DataFrame, shingle: int, least: int) -> np.ndarray:
+    """Shingles of at least `least` of the sampled texts, at most HOT_SHINGLES of them."""
+    found = sample.select("text").mapInArrow(tidy(_common(shingle, 2)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return found.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toArrow()["shingle"].to_numpy().view(U64)
 
 
+def common_keys(sample: DataFrame, shingle: int, percent: int, hot, least: int) -> HotKeys:
+    """Keys of at least `least` different sets of the sampled texts, with their least and greatest node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = one_array(batch.column(0))
+            keys, nodes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            for i, j in chunks(text):
+                for u in shingle_sets(Words(*text_bytes(text.slice(i, j - i))), shingle):
+                    keys.append(block_keys(u, percent, hot.value))
+                    nodes.append(np.full(len(keys[-1]), set_node(u), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    found = sample.select("text").mapInArrow(tidy(run), "key long, node long").groupBy("key").agg(F.countDistinct("node").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    rows = found.where(F.col("n") >= least).toArrow()
+    return HotKeys(*(rows[c].to_numpy() for c in ("key", "low", "high")))
+
+
 def components(links: DataFrame, rows: int, known: DataFrame | None = None) -> DataFrame:
     """(node, comp) of all nodes in `links` (a, b): comp is the least node reachable.
 
@@ -381,12 +428,12 @@ def similarity_classes(docs: DataFrame, **params) -> DataFrame:
     copies are never compared; n_links counts the other nodes with a verified link. Rows
     without doc_id count like others, but give no component an id: component_id is null where no row has
     one. An empty table gives an empty one. Nodes are 64-bit hashes of sets. `params`: shingle, percent,
-    group (above so many members leaders are compared first), rounds of leaders, chunk, counted.
+    group (above so many members two leaders are compared first), chunk, counted.
     """
     return classes(docs, **params).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
-def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, rounds: int = ROUNDS, chunk: int = CHUNK, count: bool = True, counted: int = COUNTED_ITEMS) -> DataFrame:
+def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, chunk: int = CHUNK, count: bool = True, counted: int = COUNTED_ITEMS) -> DataFrame:
     """What similarity_classes returns, with the hash of the text and the component's node.
 
     In groups of more than `group` sets links that can't change a component are not looked for on the way.
@@ -397,10 +444,15 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width
-    hot = spark.sparkContext.broadcast(Hot(hot_shingles(docs, shingle)))
-    staged = docs.mapInArrow(tidy(_sketch(parts, shingle, percent, hot)), STAGE)
+    rows = docs.count()
+    pick = F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(1 << 20)) / (1 << 20)
+    sample = cut(docs.select("text", pick.alias("pick")).where(F.col("pick") < HOT_SAMPLE / max(1, rows)), "sample")
+    hot = spark.sparkContext.broadcast(Hot(hot_shingles(sample, shingle, max(8, int(min(rows, HOT_SAMPLE) * HOT_SHARE)))))
+    again = sample.where(F.col("pick") < KEY_SAMPLE / max(1, rows)).dropDuplicates(["text"])
+    hot_keys = spark.sparkContext.broadcast(common_keys(again, shingle, percent, hot, max(group + 1, KEY_LEAST, int(min(rows, KEY_SAMPLE) * KEY_SHARE))))
+    staged = docs.mapInArrow(tidy(_sketch(parts, shingle, percent, hot, hot_keys)), STAGE)
     dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("node"), F.lit(parts))))
-    found = cut(dealt.mapInArrow(tidy(_meet(group)), FOUND), "met")
+    found = cut(dealt.mapInArrow(tidy(_meet(group, hot_keys)), FOUND), "met")
     nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
     members = found.where(f"kind = {MEMBER}").select("key", "node")
     large = members.select("node").distinct()
@@ -435,35 +487,26 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     links = cut(verified(pairs), "links", n_pairs)
     n_links = links.count()
     comps = components(links, n_links)
-    tested = pairs
-    for turn in range(rounds + 1):
-        # Large groups whose members are not all in one component yet.
-        named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        facts = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")]
-        if turn < rounds:  # the member with most links leads
-            degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            order = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node").alias("h"), F.col("node"), F.col("comp"))
-            live = named.join(degree, "node", "left").groupBy("key").agg(*facts, F.max(order).alias("lead")).where("lo <> hi").select("key", "k", F.col("lead.node").alias("l"), F.col("lead.comp").alias("lc"))
-        else:
-            live = named.groupBy("key").agg(*facts).where("lo <> hi").select("key", "k")
-        named = cut(named.join(live, "key"), "live", n_members)
-        if not named.limit(1).count():
-            break
-        if turn < rounds:  # and is compared with all others
-            new = named.where("comp <> lc").select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b"))
-            members = named.where("node <> l").select("key", "node")
-        else:  # cells of two chunks each compare what is left by sketches
-            cells = F.ceil(F.col("k") / chunk)
-            spread = named.withColumn("c", cells).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")))
-            spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumns({"i": F.least("chunk", "o"), "j": F.greatest("chunk", "o")})
-            spread = spread.select("key", "i", "j", "chunk", "node", "comp").join(prints.select("node", "n", "sketch"), "node")
+    if n_members:
+        # Large groups whose members are not all in one component yet: only links from outside the group's
+        # main component can change anything, so what is outside is compared with the whole group, once.
+        named = cut(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named", n_members)
+        held = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        live = held.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("k"), F.max(F.struct("m", "comp")).alias("main"))
+        live = live.where("comps > 1").select("key", F.ceil(F.col("k") / chunk).alias("rights"), F.ceil((F.col("k") - F.col("main.m")) / chunk).alias("lefts"), F.col("main.comp").alias("main"))
+        live = cut(live, "live", n_members)
+        n_live = live.count()
+        if n_live:
+            rows = named.join(broadcast_if_small(live, n_live, BROADCAST_ROWS), "key")
+            dealt = lambda own, over, left: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(over) - 1), lambda o: F.struct(F.lit(left).alias("left"), *((F.pmod(F.xxhash64("node"), F.col(own)).alias("i"), o.alias("j")) if left else (o.alias("i"), F.pmod(F.xxhash64("node"), F.col(own)).alias("j"))))))
+            spread = rows.where("comp <> main").select("key", "node", "comp", dealt("lefts", "rights", True).alias("at")).union(rows.select("key", "node", "comp", dealt("rights", "lefts", False).alias("at")))
+            spread = spread.select("key", "at.*", "node", "comp").join(prints.select("node", "n", "sketch"), "node")
             new = spread.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-        new = cut(sifted(new.distinct().join(tested, ["a", "b"], "left_anti")), "new", n_members)
-        tested = tested.union(new)
-        more = cut(verified(new), "links", n_members)
-        if more.limit(1).count():
-            links, n_links = links.union(more), n_links + more.count()
-            comps = components(links, n_links, comps)
+            new = cut(sifted(new.distinct().join(pairs, ["a", "b"], "left_anti")), "new", n_members)
+            more = cut(verified(new), "links", n_members)
+            if more.limit(1).count():
+                links = links.union(more)
+                comps = components(links, n_links + more.count(), comps)
 
     ids = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = cut(ids.where("n > 0"), "ids", n_docs)
