@@ -508,9 +508,6 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
                 links = links.union(more)
                 comps = components(links, n_links + more.count(), comps)
 
-    ids = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = cut(ids.where("n > 0"), "ids", n_docs)
-    least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     if count and n_members:
         sized = comps.join(prints.select("node", "n"), "node")
@@ -522,7 +519,13 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
         whole = cells.groupBy("comp", "i", "j").applyInArrow(_count(percent), "node long, n long").groupBy("node").agg(F.sum("n").alias("whole"))
         whole = cut(whole, "counted", n_docs)
         degree = degree.join(whole, "node", "left").select("node", F.coalesce("whole", "n_links").alias("n_links"))
-    named = ids.join(least, "comp").join(degree, "node", "left").select("doc_id", "h", "comp", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    # One row for each node, then for each row: neither copies nor a large component meet in one task.
+    own = cut(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("d")), "own", n_docs)
+    least = cut(comps.join(own, "node").groupBy("comp").agg(F.min("d").alias("component_id")), "least", n_docs)
+    placed = comps.join(broadcast_if_small(least, least.count(), BROADCAST_ROWS), "comp").select("node", "comp", "component_id", F.lit(True).alias("linked"))
+    facts = own.join(placed, "node", "left").join(degree, "node", "left")
+    facts = facts.select("node", F.coalesce("comp", "node").alias("comp"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("d")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = nodes.where("n > 0").join(cut(facts, "facts", n_docs), "node").select("doc_id", "h", "comp", F.col("n").alias("n_shingles"), "n_links", "component_id")
     return named.union(nodes.where("n = 0").select("doc_id", "h", "node", F.col("n"), F.lit(0).cast("long"), F.col("doc_id")))
 
 
