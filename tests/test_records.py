@@ -1,12 +1,17 @@
 """Record files, sizes, lookups, routing and generators."""
 
+import bisect
+import random
+
+import pandas as pd
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tidemark.functions import attrs, load
 from tidemark.functions.varint import decode, encode, record_size
-from tidemark.operators import guards, lookup, merge, metrics, routing
+from tidemark.operators import guards, lookup, merge, metrics, placement, routing
 from tidemark.schema import invalid_writes, records
 from tidemark.sources.sstable import FAILFAST, CorruptFile, SSTableSource, decode_records, encode_records, read_files
 
@@ -88,17 +93,47 @@ def test_probe_sets_shrink(spark):
     assert lookup.as_map(lookup.batch_get(rows, keys, ["seq"])).first()["values"] == {"key2": "b2", "key3": "b1"}
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_routing(spark, monkeypatch, few):
-    monkeypatch.setattr(routing, "ARRAY_STARTS", 100 if few else 2)
-    starts = spark.createDataFrame([("b",), ("d",), ("dd",), ("x",), ("d",)], "start_key string")
-    names = ["a", "b", "bz", "c", "d", "da", "dd", "de", "w", "x", "zz", "a"]
-    keys = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "key string, extra int")
-    got = {r["extra"]: r["start_key"] for r in routing.route(keys, starts).collect()}
-    assert got == {k: max((s for s in ("b", "d", "dd", "x") if s <= n), default=None) for k, n in enumerate(names)}
+WAYS = {"array": {}, "sent": {"array_starts": 0}, "sorted": {"array_starts": 0, "sent_starts": 0}}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_routing(spark, way):
+    starts = spark.createDataFrame([("b",), ("d",), ("dd",), ("x",), ("d",), (None,)], "start_key string")
+    names = ["a", "b", "bz", "c", "d", "da", "dd", "de", "w", "x", "zz", "a", None, "\u00e4", "\U0001f600"]
+    keys = spark.createDataFrame([(n, k, "clash") for k, n in enumerate(names)], "key string, extra int, start_key string")
+    got = {r["extra"]: r["start_key"] for r in routing.route(keys, starts, **WAYS[way]).collect()}
+    assert got == {k: max((s for s in ("b", "d", "dd", "x") if n and s <= n), default=None) for k, n in enumerate(names)}
     with pytest.raises(Exception, match="no partition"):
-        routing.route(keys, starts, strict=True).collect()
-    assert routing.route(keys, starts.limit(0)).where("start_key is not null").count() == 0
+        routing.route(keys, starts, strict=True, **WAYS[way]).collect()
+    assert routing.route(keys.where("key > 'c'"), starts, strict=True, **WAYS[way]).count() == 9
+    assert routing.route(keys, starts.limit(0), **WAYS[way]).where("start_key is not null").count() == 0
+
+
+@pytest.mark.parametrize("way", ["sent", "sorted"])
+def test_routing_to_many_partitions(spark, way):
+    """Over 512 starts, 100,000 rows with other columns, a key with a third of them, 64 partitions; by bisection."""
+    rng = random.Random(6)
+    starts = sorted({str(rng.randrange(10**6)) for _ in range(600)})
+    names = [str(rng.randrange(10**6)) if rng.random() < 0.66 else "5" for _ in range(100_000)]
+    keys = spark.createDataFrame(pd.DataFrame({"key": names, "n": range(len(names)), "other": [x[::-1] for x in names]}))
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = routing.route(keys.repartition(16), spark.createDataFrame([(x,) for x in starts], "start_key string"), **WAYS[way]).toPandas().sort_values("n")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    places = [bisect.bisect_right(starts, x) for x in names]
+    assert len(got) == len(names) and got.start_key.where(got.start_key.notna(), None).tolist() == [starts[p - 1] if p else None for p in places]
+
+
+def test_placement(spark):
+    paths = [f"wal/{k}" for k in range(50)]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    first = {p: xxhash.xxh64_intdigest(p.encode(), seed=42) for p in paths}
+    first = {p: (h - (1 << 64) if h >> 63 else h) % 5 for p, h in first.items()}
+    assert {r.path: r.node for r in placement.place(df, 5).collect()} == first
+    up = {p: next((k for k in (n, (n + 1) % 5) if k not in (1, 2)), None) for p, n in first.items()}
+    assert {r.path: r.node for r in placement.place(df, 5, [1, 2]).collect()} == up
 
 
 def test_partition_runs_hide_by_tombstones(spark):
@@ -118,7 +153,9 @@ def test_guards(spark):
 def test_attributes(spark):
     row = spark.sql("select 'p' path, timestamp'2024-01-02 03:04:05' t, 5000000000L n, 'a' lo, '' hi")
     made = row.select(attrs.to_attrs(F.col("path"), F.col("t"), F.col("n"), F.col("lo"), F.col("hi")).alias("j"))
-    assert made.first()["j"] == '{"path":"p","createdAt":"2024-01-02T03:04:05.000Z","sizeBytes":"5000000000","minKey":"a"}'
+    assert made.first()["j"] == '{"path":"p","createdAt":"2024-01-02T03:04:05Z","sizeBytes":"5000000000","minKey":"a"}'
+    for text, want in (("05.5", "05.500Z"), ("05.000007", "05.000007Z"), ("05.123456", "05.123456Z"), ("05", "05Z")):
+        assert spark.sql(f"select timestamp'1969-01-02 03:04:{text}' t").select(attrs.time_text(F.col("t"))).first()[0] == f"1969-01-02T03:04:{want}"
     back = made.select(attrs.from_attrs(F.col("j")).alias("x")).first()["x"]
     assert (back["path"], back["size_bytes"], back["min_key"], back["max_key"]) == ("p", 5000000000, "a", "")
 

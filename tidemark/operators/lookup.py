@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .merge import newest_wins, visible
 
@@ -52,11 +53,17 @@ def remaining_by_file(records: DataFrame, keys: DataFrame, file_rank: str) -> Da
     per_file = first.groupBy("decided").agg(F.count(F.lit(1)).alias("n"))
     ranks = records.select(F.col(file_rank).alias("rank")).distinct()
     total = wanted.agg(F.count(F.lit(1)).alias("total"))
-    # Files are few beside records: the running sum goes over one row for each.
-    before = ranks.join(per_file, F.col("decided") < F.col("rank"), "left").groupBy("rank").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gone"))
+    # One row for each file: the running sum goes over these.
+    earlier = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranks.join(per_file, F.col("decided") == F.col("rank"), "left").withColumn("gone", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     return before.crossJoin(F.broadcast(total)).select("rank", (F.col("total") - F.col("gone")).alias("remaining")).where("remaining > 0")
 
 
+def request_error(path: Column, keys: Column) -> Column:
+    """Why a request for an array of keys in a file is refused, or null: an empty path, or no keys."""
+    return F.when(F.coalesce(path, F.lit("")) == "", "object path is empty").when(F.coalesce(F.size(keys), F.lit(0)) <= 0, "no keys")
+
+
 def as_map(rows: DataFrame) -> DataFrame:
     """One row with the response as a map; for small responses."""
     return rows.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("values"))

@@ -2,50 +2,78 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import cut
 from .merge import newest_wins, visible
 
-#: Up to so many start keys a sorted array in each task routes; more of them are merged by a sort.
+#: Up to so many start keys an array literal that each row searches routes.
 ARRAY_STARTS = 512
+#: Up to so many start keys, and bytes of them, are sent to all tasks and bisected; more of them are merged by a sort.
+SENT_STARTS, SENT_BYTES = 1_000_000, 64 << 20
 
 
-def route(keys: DataFrame, starts: DataFrame, *, strict: bool = False) -> DataFrame:
+def route(keys: DataFrame, starts: DataFrame, *, strict: bool = False, array_starts: int = ARRAY_STARTS, sent_starts: int = SENT_STARTS) -> DataFrame:
     """`keys` with start_key, the greatest start that is not above the key (null if there is none).
 
-    `starts` has start_key. Few starts become an array literal that each row searches; with more, keys and
-    starts are sorted together by ranges of the key and each key takes the last start before it.
+    `starts` has start_key; null ones don't count. Keys compare by their bytes; a null key has no start.
+    The result is the same on each of three ways, of which the number of starts chooses one.
     `strict` raises an error for a key below all starts.
     """
-    found = [r["start_key"] for r in starts.select("start_key").distinct().limit(ARRAY_STARTS + 1).collect()]
-    if len(found) <= ARRAY_STARTS:
-        bounds = F.array(*map(F.lit, sorted(found))) if found else F.array().cast("array<string>")
-        out = keys.withColumn("start_key", _last_not_above(keys, bounds))
+    found = starts.select("start_key").where("start_key is not null").distinct()
+    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("start_key")), F.lit(0))).first()
+    rows = keys.drop("start_key")
+    if n <= array_starts:
+        bounds = sorted(r["start_key"] for r in found.collect()) if n else []
+        array = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<string>")
+        out = rows.withColumn("start_key", F.array_max(F.filter(array, lambda b: b <= F.col("key"))))
+    elif n <= sent_starts and size <= SENT_BYTES:
+        out = _bisect_route(rows, found)
     else:
-        out = _merge_route(keys, starts)
+        out = _merge_route(rows, found)
     if strict:
-        out = out.withColumn("start_key", F.when(F.col("start_key").isNull(), F.raise_error(F.concat(F.lit("no partition for key "), F.col("key")))).otherwise(F.col("start_key")))
+        below = F.raise_error(F.concat(F.lit("no partition for key "), F.col("key")))
+        out = out.withColumn("start_key", F.when(F.col("start_key").isNull() & F.col("key").isNotNull(), below).otherwise(F.col("start_key")))
     return out
 
 
-def _last_not_above(keys: DataFrame, bounds):
-    return F.array_max(F.filter(bounds, lambda b: b <= F.col("key")))
+def _bisect_route(keys: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each task bisects the sorted starts: no shuffle."""
+    sent = keys.sparkSession.sparkContext.broadcast(sorted(x.encode() for x in starts.toArrow()["start_key"].to_pylist()))
+    at = keys.columns.index("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = sent.value
+        for batch in batches:
+            places = (0 if k is None else bisect_right(bounds, k.encode()) for k in batch.column(at).to_pylist())
+            got = pa.array([bounds[p - 1].decode() if p else None for p in places], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "start_key"])
+
+    return keys.mapInArrow(run, keys.withColumn("start_key", F.lit(None).cast("string")).schema)
 
 
 def _merge_route(keys: DataFrame, starts: DataFrame) -> DataFrame:
-    """As-of routing by ranges: a range takes the last start before it along."""
-    both = keys.select("*", F.lit(1).alias("__k"), F.lit(None).cast("string").alias("start_key")).unionByName(starts.select(F.col("start_key").alias("key"), F.lit(0).alias("__k"), "start_key").distinct(), allowMissingColumns=True)
-    # A fixed number of ranges: the exchange is made once and read alike by all that follows.
+    """Distinct keys and starts are sorted together by ranges; a range takes the last start before it along.
+
+    The ranges are written once with their numbers, so that all that follows sees the same ones. A key with
+    very many rows is one row in its range; Spark splits it in the join back.
+    """
+    both = keys.select("key", F.lit(1).alias("__k")).where("key is not null").distinct().union(starts.select("start_key", F.lit(0)))
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartitionByRange(parts, "key").withColumn("__p", F.spark_partition_id())
+    dealt = cut(both.repartitionByRange(parts, "key").withColumn("__p", F.spark_partition_id()), "ranges")
+    last = dealt.groupBy("__p").agg(F.max(F.when(F.col("__k") == 0, F.col("key"))).alias("__m"))
+    # One row for each range: the window goes over `parts` rows.
+    carried = last.withColumn("__c", F.max("__m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", "__c")
     inside = Window.partitionBy("__p").orderBy("key", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    last = dealt.where("__k = 0").groupBy("__p").agg(F.max("start_key").alias("__m"))
-    before = last.select(F.col("__p").alias("__q"), "__m")
-    carried = dealt.select("__p").distinct().join(F.broadcast(before), F.col("__q") < F.col("__p"), "left").groupBy("__p").agg(F.max("__m").alias("__c"))
-    got = dealt.withColumn("start_key", F.last("start_key", ignorenulls=True).over(inside)).join(F.broadcast(carried), "__p")
-    return got.withColumn("start_key", F.coalesce("start_key", "__c")).where("__k = 1").drop("__k", "__p", "__c")
+    got = dealt.withColumn("__s", F.last(F.when(F.col("__k") == 0, F.col("key")), ignorenulls=True).over(inside)).where("__k = 1")
+    got = got.join(F.broadcast(carried), "__p").select("key", F.coalesce("__s", "__c").alias("start_key"))
+    return keys.join(got, "key", "left").select(*keys.columns, "start_key")
 
 
 def groups(routed: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ into 16 or more logs by event_id. Line items: key order and line, logs by ship y
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import attrs, load
 from ..functions.varint import VERSION
-from ..operators import guards, lookup, merge, metrics, routing
+from ..operators import guards, lookup, merge, metrics, placement, routing
 from ..schema import records
+from ..scratch import shared_path
 from ..sources.store import Store
+from ..streaming.changes import ManifestChanges
 from ..streaming.flush import flush_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,13 +120,13 @@ def compaction_invariance(spark, sf_dir):
     return merge.live(merge.concat([rows.where("wal >= 8"), run]), ["seq"]).select("key", "value")
 
 
-# Requested keys: every third customer, most of whom have no events.
-KEYS = ", want AS (SELECT DISTINCT c_custkey::VARCHAR AS key FROM customer WHERE c_custkey % 3 = 0) "
+# Requested keys: all customers, most of whom have no events.
+KEYS = ", want AS (SELECT DISTINCT c_custkey::VARCHAR AS key FROM customer) "
 FILE = ", best AS (SELECT * FROM ev WHERE wal = 3 AND key IN (SELECT key FROM want) QUALIFY " + WIN + ") "
 
 
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("key"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
 
 
 def _file_lookup(spark, sf_dir):
@@ -186,13 +186,13 @@ def batch_get_map(spark, sf_dir):
     return got.select(F.size("values").cast("long").alias("n_found"), F.array_max(F.map_values("values")).alias("last_value"))
 
 
-# Partitions that begin at the empty key and at every hundredth order key, as text.
-STARTS = "WITH st AS (SELECT '' AS start_key UNION SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 100 = 0), ok AS (SELECT o_orderkey::VARCHAR AS key, o_custkey FROM orders) "
+# Partitions that begin at the empty key and at every supplier's key, as text.
+STARTS = "WITH st AS (SELECT '' AS start_key UNION SELECT s_suppkey::VARCHAR FROM supplier), ok AS (SELECT o_orderkey::VARCHAR AS key, o_custkey FROM orders) "
 ROUTED = ", rt AS (SELECT key, (SELECT max(start_key) FROM st WHERE start_key <= ok.key) AS start_key FROM ok) "
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").cast("string").alias("start_key"))
+    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("start_key"))
     return found.union(spark.createDataFrame([("",)], "start_key string")).distinct()
 
 
@@ -205,6 +205,13 @@ def route_partitions(spark, sf_dir):
     return routing.route(order_keys(spark, sf_dir), starts(spark, sf_dir), strict=True)
 
 
+@query(STARTS.replace("s_suppkey::VARCHAR FROM supplier", "c_custkey::VARCHAR FROM customer") + ROUTED.rstrip() + " SELECT key, start_key FROM rt")
+def route_partitions_many(spark, sf_dir):
+    """As many partitions as customers: more than an array literal takes."""
+    many = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("start_key"))
+    return routing.route(order_keys(spark, sf_dir), many.union(spark.createDataFrame([("",)], "start_key string")), strict=True)
+
+
 @query(STARTS + ROUTED + "SELECT start_key, count(DISTINCT key) AS n_keys, min(key) AS first_key, max(key) AS last_key FROM rt GROUP BY start_key")
 def partition_groups(spark, sf_dir):
     return routing.groups(route_partitions(spark, sf_dir))
@@ -284,11 +291,41 @@ def prune_files(spark, sf_dir):
     return guards.overlapping(file_list(spark, sf_dir), "101", "3").select("seq_no")
 
 
-@query(LIST + "SELECT ('0x' || substr(md5(seq_no::VARCHAR), 1, 8))::BIGINT % 4 AS node, count(*) AS n_files FROM files GROUP BY node")
+_SLOT = "('0x' || substr(md5(seq_no::VARCHAR), 1, 8))::BIGINT"
+
+
+def _md5_slot():
+    return F.conv(F.substring(F.md5(F.col("seq_no").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+@query(LIST + f"SELECT {_SLOT} % 4 AS node, count(*) AS n_files FROM files GROUP BY node")
 def file_placement(spark, sf_dir):
-    """Files by node, from a hash of the file's name."""
-    node = F.pmod(F.conv(F.substring(F.md5(F.col("seq_no").cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(4).cast("long"))
-    return file_list(spark, sf_dir).groupBy(node.alias("node")).agg(F.count(F.lit(1)).alias("n_files"))
+    """Files by node, from a hash that SQL has too."""
+    placed = placement.place(file_list(spark, sf_dir).withColumn("path", F.col("seq_no").cast("string")), 4, hashed=_md5_slot())
+    return placed.groupBy("node").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query(LIST + f"SELECT seq_no, CASE WHEN {_SLOT} % 4 IN (1, 2) THEN CASE WHEN ({_SLOT} + 1) % 4 IN (1, 2) THEN NULL ELSE ({_SLOT} + 1) % 4 END ELSE {_SLOT} % 4 END AS node FROM files")
+def file_placement_fallback(spark, sf_dir):
+    """The next node on the ring takes a file whose node is down; with both down, none does."""
+    return placement.place(file_list(spark, sf_dir).withColumn("path", F.col("seq_no").cast("string")), 4, [1, 2], hashed=_md5_slot()).select("seq_no", "node")
+
+
+@query(None)
+def file_placement_xxhash(spark, sf_dir):
+    """Placement by xxhash64, which DuckDB lacks; tests compare it with the hash's own library."""
+    return placement.place(file_list(spark, sf_dir).withColumn("path", F.concat(F.lit("wal/"), F.col("seq_no").cast("string"))), 4).select("seq_no", "node")
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE WHEN user_id % 10 = 0 THEN '' ELSE event_type END AS path, CASE WHEN event_type = 'error' THEN [] ELSE [user_id::VARCHAR] END AS keys FROM events)
+    SELECT event_id, CASE WHEN path = '' THEN 'object path is empty' WHEN len(keys) = 0 THEN 'no keys' END AS error FROM r"""
+)
+def file_request_errors(spark, sf_dir):
+    """Requests for keys of a file, some without a path and some without keys."""
+    path = F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("event_type"))
+    keys = F.when(F.col("event_type") == "error", F.array().cast("array<string>")).otherwise(F.array(F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", lookup.request_error(path, keys).alias("error"))
 
 
 def _flush_sql(max_bytes: int, max_age_us: int) -> str:
@@ -400,28 +437,74 @@ def attrs_json(spark, sf_dir):
     return got.select("x.path", "x.size_bytes", "x.min_key", "x.max_key", "attrs")
 
 
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' WHEN epoch_us(ts) % 1000 = 0 THEN '.' || lpad((epoch_us(ts) % 1000000 // 1000)::VARCHAR, 3, '0')
+    ELSE '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') END || 'Z' AS stamp FROM (SELECT event_id, ts + to_microseconds(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 7000 ELSE 7 END) AS ts FROM events)"""
+)
+def attrs_times(spark, sf_dir):
+    """Times as attributes write them, with as many digits as they need."""
+    extra = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 1, 7000).otherwise(7)
+    utc = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", attrs.time_text(F.timestamp_micros(F.unix_micros(utc) + extra)).alias("stamp"))
+
+
 @query(EV + "SELECT key, CASE WHEN NOT tombstone THEN value END AS value, tombstone FROM ev")
 def sstable_roundtrip(spark, sf_dir):
     """The events written as record files and read again."""
     from ..sources.sstable import SSTableSource, read_files
 
     spark.dataSource.register(SSTableSource)
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    at = f"{base}/records-{os.urandom(8).hex()}"
+    at = shared_path(spark, "records")
     rows = events(spark, sf_dir).select("key", F.col("value").cast("binary").alias("value"), "tombstone")
     rows.write.format("sstable").mode("append").save(at)
     return read_files(spark, at).select("key", F.col("value").cast("string").alias("value"), "tombstone")
 
 
-@query(EV + f"SELECT key, value FROM (SELECT * FROM ev QUALIFY {WIN}) WHERE NOT tombstone")
-def store_live(spark, sf_dir):
-    """Four batches through a store, the first three compacted, read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    store = Store(spark, f"{base}/store-{os.urandom(8).hex()}")
+def _filled(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with the events in four batches, the first three compacted."""
+    store = Store(spark, shared_path(spark, "store"))
     rows = events(spark, sf_dir)
     for k in range(4):
         part = rows.where((F.col("wal") >= 4 * k) & ((F.col("wal") < 4 * k + 4) | F.lit(k == 3)))
         store.write(part.select("key", F.when(~F.col("tombstone"), F.col("value").cast("binary")).alias("put"), F.col("tombstone").alias("delete"), F.col("seq").alias("ordinal")))
         if k == 2:
             store.maybe_compact(3)
-    return store.live().select("key", F.col("value").cast("string").alias("value"))
+    return store
+
+
+@query(EV + f"SELECT key, value FROM (SELECT * FROM ev QUALIFY {WIN}) WHERE NOT tombstone")
+def store_live(spark, sf_dir):
+    return _filled(spark, sf_dir).live().select("key", F.col("value").cast("string").alias("value"))
+
+
+@query(EV + KEYS + f"SELECT key, value FROM (SELECT * FROM ev WHERE key IN (SELECT key FROM want) QUALIFY {WIN}) WHERE NOT tombstone")
+def store_batch_get(spark, sf_dir):
+    return _filled(spark, sf_dir).batch_get(wanted(spark, sf_dir)).select("key", F.col("value").cast("string").alias("value"))
+
+
+PARTED = "WITH st AS (SELECT unnest(['', '120', '3', '75']) AS start_key), " + EV.removeprefix("WITH ")
+
+
+@query(PARTED + f", top AS (SELECT * FROM ev QUALIFY {WIN}) SELECT key, value, (SELECT max(start_key) FROM st WHERE start_key <= top.key) AS start_key FROM top WHERE NOT tombstone")
+def store_partitions(spark, sf_dir):
+    """All logs and runs moved into partitions; each visible key with the start of its partition's run."""
+    store = _filled(spark, sf_dir)
+    store.manifest.commit(lambda s: s.split(["120", "3", "75"]))
+    store.maybe_compact(1)
+    store.to_partitions()
+    files = store.manifest.files().where("tier = 'partition'").select("start_key", "min_key", "max_key")
+    live = store.live()
+    # Runs of different partitions have ranges that don't overlap, four of them here.
+    return live.join(F.broadcast(files), F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", F.col("value").cast("string").alias("value"), "start_key")
+
+
+@query("SELECT * FROM (VALUES (1, 'wal', 'NEW'), (2, 'wal', 'NEW'), (3, 'wal', 'NEW'), (4, 'wal', 'COMPACTING'), (5, 'shared_run', NULL), (6, 'wal', 'NEW')) x(version, tier, state)")
+def store_changes(spark, sf_dir):
+    """The last file that each version of the list puts in place, as the change feed tells it."""
+    store = _filled(spark, sf_dir)
+    spark.dataSource.register(ManifestChanges)
+    stream = spark.readStream.format("tidemark_changes").load(store.manifest.folder)
+    at = shared_path(spark, "changes")
+    stream.writeStream.option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start(at).awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(at).where("change = 'put'")
+    return rows.groupBy("version").agg(F.max_by(F.struct("tier", "state"), "seq_no").alias("x")).select(F.col("version").cast("int"), "x.tier", "x.state")

@@ -17,6 +17,8 @@ from ..functions.varint import VERSION, decode, encode
 from .location import open_fs
 
 Row = tuple[str, bytes | None, bool]
+#: Bytes that a task holds before it writes them.
+WRITE_BYTES = 4 << 20
 PERMISSIVE, FAILFAST = "PERMISSIVE", "FAILFAST"
 
 
@@ -24,21 +26,25 @@ class CorruptFile(ValueError):
     """Bytes that are no complete record file."""
 
 
-def encode_records(records: Iterable[Row]) -> bytes:
-    """The file's bytes; records stay as they come, repeated keys too."""
-    out = [encode(VERSION)]
+def encoded(records: Iterable[Row]) -> Iterator[bytes]:
+    """The file's bytes, piece by piece; records stay as they come, repeated keys too."""
+    yield encode(VERSION)
     for key, value, tombstone in records:
         name = key.encode()
-        out += [encode(len(name) << 1 | bool(tombstone)), name]
+        out = [encode(len(name) << 1 | bool(tombstone)), name]
         if not tombstone:
             body = value or b""
             out += [encode(len(body)), body]
-    return b"".join(out)
+        yield b"".join(out)
+
+
+def encode_records(records: Iterable[Row]) -> bytes:
+    return b"".join(encoded(records))
 
 
 def decode_records(data: bytes, mode: str = PERMISSIVE) -> Iterator[Row]:
-    """The records, one after the other. Where bytes are missing or the version is unknown, PERMISSIVE
-    ends with the records so far and FAILFAST raises CorruptFile."""
+    """The records, one after the other. Where bytes are missing, a key is no UTF-8 or the version is unknown,
+    PERMISSIVE ends with the records so far and FAILFAST raises CorruptFile."""
 
     def stop(why: str) -> None:
         if mode == FAILFAST:
@@ -58,7 +64,10 @@ def decode_records(data: bytes, mode: str = PERMISSIVE) -> Iterator[Row]:
         size, tombstone = size >> 1, bool(size & 1)
         if at + size > len(data):
             return stop("key")
-        key, at = data[at : at + size].decode("utf-8", "replace"), at + size
+        try:
+            key, at = data[at : at + size].decode(), at + size
+        except UnicodeDecodeError:
+            return stop("key is no UTF-8")
         value = None
         if not tombstone:
             got = decode(data, at)
@@ -149,7 +158,15 @@ class SSTableWriter(DataSourceWriter):
         k, v, t = (self.names.index(c) for c in ("key", "value", "tombstone"))
         own = f"{path}/_{uuid.uuid4().hex}.tmp"
         with fs.open_output_stream(own) as f:
-            f.write(encode_records((r[k], None if r[v] is None else bytes(r[v]), r[t]) for r in rows))
+            held: list[bytes] = []
+            size = 0
+            for piece in encoded((r[k], None if r[v] is None else bytes(r[v]), r[t]) for r in rows):
+                held.append(piece)
+                size += len(piece)
+                if size >= WRITE_BYTES:
+                    f.write(b"".join(held))
+                    held, size = [], 0
+            f.write(b"".join(held))
         message = WriterCommitMessage()
         message.file = own  # type: ignore[attr-defined]
         return message
@@ -158,13 +175,12 @@ class SSTableWriter(DataSourceWriter):
         from pyarrow.fs import FileSelector
 
         fs, path = open_fs(self.path)
-        if self.overwrite:
-            for x in fs.get_file_info(FileSelector(path)):
-                if x.path.endswith(".sstable"):
-                    fs.delete_file(x.path)
-        for m in messages:
+        old = [x.path for x in fs.get_file_info(FileSelector(path)) if x.path.endswith(".sstable")] if self.overwrite else []
+        for m in messages:  # the new files first: a failure leaves old and new ones, never neither
             if m is not None:
                 fs.move(m.file, f"{path}/{m.file.rsplit('/', 1)[1].removeprefix('_').removesuffix('.tmp')}.sstable")
+        for x in old:
+            fs.delete_file(x)
 
     def abort(self, messages: list) -> None:
         fs, _ = open_fs(self.path)

@@ -49,14 +49,14 @@ def stream_to_store(mutations: DataFrame, store: Store, checkpoint: str, *, trig
     """Writes each micro-batch of a stream of (key, put, delete, ordinal) as one log.
 
     The trigger's interval is the age limit, the source's rate options (such as maxFilesPerTrigger) bound
-    the size. An empty micro-batch writes nothing. A batch that is delivered again after a failure is
-    written again; as it is the newest of its stream, the visible state is the same unless another writer
-    changed the same keys in between. `compact_at` compacts when so many logs are new.
+    the size. An empty micro-batch writes nothing. The manifest notes the last batch of each stream, known by
+    its checkpoint, in the commit that lists the log: one that is delivered again after a failure is left
+    out. `compact_at` compacts when so many logs are new. Many streams may write into one store.
     """
 
-    def flush(batch: DataFrame, _: int) -> None:
+    def flush(batch: DataFrame, number: int) -> None:
         if batch.limit(1).count():
-            store.write(batch)
+            store.write(batch, once=(checkpoint, number))
             if compact_at:
                 store.maybe_compact(compact_at)
 
