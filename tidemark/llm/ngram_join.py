@@ -451,7 +451,7 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     again = sample.where(F.col("pick") < KEY_SAMPLE / max(1, rows)).dropDuplicates(["text"])
     hot_keys = spark.sparkContext.broadcast(common_keys(again, shingle, percent, hot, max(group + 1, KEY_LEAST, int(min(rows, KEY_SAMPLE) * KEY_SHARE))))
     staged = docs.mapInArrow(tidy(_sketch(parts, shingle, percent, hot, hot_keys)), STAGE)
-    dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("node"), F.lit(parts))))
+    dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("doc_id", "h"), F.lit(parts))))
     found = cut(dealt.mapInArrow(tidy(_meet(group, hot_keys)), FOUND), "met")
     nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
     members = found.where(f"kind = {MEMBER}").select("key", "node")
@@ -459,7 +459,7 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     n_docs, n_members = found.where(f"kind = {DOC}").count(), members.count()
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("h"))).alias("row")
     prints = found.where(f"kind = {DOC}").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), row)
-    prints = cut(prints.select("node", "n", "sketch", F.col("row.d").alias("__d"), F.col("row.h").alias("h")), "sketches", n_docs)
+    prints = cut(prints.select("node", "n", "sketch", F.col("row.d").alias("__d"), F.col("row.h").alias("h")), "sketches", 8 * n_docs)  # rows of some hundred bytes
 
     def sifted(pairs: DataFrame) -> DataFrame:
         left = prints.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
