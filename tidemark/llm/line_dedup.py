@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, powers, text_bytes, tidy
+from .common import BASE, U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, powers, text_bytes, tidy
 
 #: Any repeated run of so many words is found and deleted.
 MIN_WORDS = 50
@@ -18,8 +18,12 @@ MIN_WORDS = 50
 GRAM_WORDS = 25
 #: Tables of up to so many deleted runs (24 bytes each) are broadcast, larger ones shuffled.
 BROADCAST_RUNS = 1_000_000
+#: Tables of up to so many repeated fingerprints or runs (under 40 bytes each) are broadcast, larger ones shuffled.
+BROADCAST_KEYS = 200_000
+#: Another odd multiplier: runs are alike when two hashes of 64 bits are.
+OTHER = 0xD6E8FEB86659FD93 | 1
 BLANK = re.compile(r"[\x20\t-\r]*")
-LINES = "__d long, __h long, line array<int>, hash array<long>, words array<int>"
+LINES = "__d long, __h long, line array<int>, hash array<long>, other array<long>, words array<int>"
 
 
 def _line_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,26 +42,26 @@ def _line_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = line[first] - base[doc[first]]
             per = np.bincount(doc[first], minlength=j - i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), list_array(number, per, pa.int32()), list_array(got.view(np.int64), per, pa.int64()), list_array(end - first, per, pa.int32())],
-                names=["__d", "__h", "line", "hash", "words"],
+                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), list_array(number, per, pa.int32()), list_array(got.view(np.int64), per, pa.int64()), list_array(_runs(mix(w.hash), first, end, OTHER).view(np.int64), per, pa.int64()), list_array(end - first, per, pa.int32())],
+                names=["__d", "__h", "line", "hash", "other", "words"],
             )
 
 
-def _runs(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _runs(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
     """A hash of h[start:end] for each pair, from prefix sums."""
     with np.errstate(over="ignore"):
         total = np.zeros(len(h) + 1, U64)
-        np.cumsum((h | U64(1)) * powers(BASE, len(h)), dtype=U64, out=total[1:])
-        return mix((total[end] - total[start]) * powers(INVERSE, len(h) + 1)[start] + (end - start).astype(U64))
+        np.cumsum((h | U64(1)) * powers(base, len(h)), dtype=U64, out=total[1:])
+        return mix((total[end] - total[start]) * powers(pow(base, -1, 1 << 64), len(h) + 1)[start] + (end - start).astype(U64))
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Line numbers, hashes and word counts of all rows, row borders, each line's row."""
-    lists = [one_array(batch.column(k)) for k in (2, 3, 4)]
+    """Line numbers, both hashes and word counts of all rows, row borders, each line's row."""
+    lists = [one_array(batch.column(k)) for k in (2, 3, 4, 5)]
     at = lists[0].offsets.to_numpy()
-    line, h, words = (x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in lists)
+    line, h, other, words = (x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in lists)
     at = at - at[0]
-    return line, h.view(U64), words.astype(np.int64), at, np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return line, h.view(U64), other.view(U64), words.astype(np.int64), at, np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
 def _ends(words: np.ndarray, at: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
@@ -70,7 +74,7 @@ def _ends(words: np.ndarray, at: np.ndarray, row: np.ndarray, least: int) -> np.
 def _fingerprints(gram_words: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, h, words, at, row = _flat(batch)
+            _, h, _, words, at, row = _flat(batch)
             gram_end = _ends(words, at, row, gram_words)
             ok = np.flatnonzero(gram_end >= 0)
             gram = np.full(len(h), ~U64(0))
@@ -95,22 +99,22 @@ def _fingerprints(gram_words: int, min_words: int):
 def _segments(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            line, h, words, at, row = _flat(batch)
+            line, h, other, words, at, row = _flat(batch)
             end = _ends(words, at, row, min_words)
             i = np.flatnonzero(end >= 0)
             total = np.concatenate([[0], np.cumsum(words)])
             back = np.searchsorted(total, total[1:] - min_words, "right") - 1
             e = np.flatnonzero((total[1:] - min_words >= 0) & (back >= at[row]))
             runs = np.unique(np.concatenate([np.stack([i, end[i]], 1), np.stack([back[e], e + 1], 1)]), axis=0)
-            found = one_array(batch.column(5))
+            found = one_array(batch.column(6))
             hits = np.sort(np.repeat(at[:-1], found.value_lengths().to_numpy()) + found.flatten().to_numpy())
             runs = runs[np.searchsorted(hits, runs[:, 1]) > np.searchsorted(hits, runs[:, 0])] if len(runs) else runs.reshape(0, 2)
             a, b = runs[:, 0], runs[:, 1]
             d, k = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             r = row[a]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_runs(h, a, b).view(np.int64)), pa.array(d[r]), pa.array(k[r]), pa.array((a - at[r]).astype(np.int32)), pa.array(line[a].astype(np.int32)), pa.array(line[b - 1].astype(np.int32))],
-                names=["seg", "__d", "__h", "pos", "first", "last"],
+                [pa.array(_runs(h, a, b).view(np.int64)), pa.array(_runs(other, a, b, OTHER).view(np.int64)), pa.array(d[r]), pa.array(k[r]), pa.array((a - at[r]).astype(np.int32)), pa.array(line[a].astype(np.int32)), pa.array(line[b - 1].astype(np.int32))],
+                names=["seg", "seg2", "__d", "__h", "pos", "first", "last"],
             )
 
     return run
@@ -139,12 +143,14 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: in
     lines = cut(keyed.mapInArrow(tidy(_line_table), LINES), "lines")
     prints = lines.mapInArrow(tidy(_fingerprints(gram_words, min_words)), "fp long, __d long, __h long, pos int")
     place = F.struct("__d", "__h", "pos")
-    repeated = prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    hits = prints.join(repeated, "fp", "left_semi").groupBy("__d", "__h").agg(F.collect_set("pos").alias("hits"))
-    seg = lines.join(hits, ["__d", "__h"]).select("__d", "__h", "line", "hash", "words", "hits").mapInArrow(tidy(_segments(min_words)), "seg long, __d long, __h long, pos int, first int, last int")
+    # Sums by key go out of each task first; what many texts share then meets them in a broadcast, or in a
+    # join of its own that Spark can split.
+    repeated = cut(prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "fingerprints")
+    hits = prints.join(broadcast_if_small(repeated, repeated.count(), BROADCAST_KEYS), "fp", "left_semi").groupBy("__d", "__h").agg(F.collect_set("pos").alias("hits"))
+    seg = lines.join(hits, ["__d", "__h"]).select("__d", "__h", "line", "hash", "other", "words", "hits").mapInArrow(tidy(_segments(min_words)), "seg long, seg2 long, __d long, __h long, pos int, first int, last int")
     seg = cut(seg, "segments")
-    first = seg.groupBy("seg").agg(F.min(place).alias("origin"))
-    later = seg.join(first, "seg").where(place > F.col("origin"))
+    first = cut(seg.groupBy("seg", "seg2").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").drop("end"), "origins")
+    later = seg.join(broadcast_if_small(first, first.count(), BROADCAST_KEYS), ["seg", "seg2"]).where(place > F.col("origin"))
     return later.groupBy("__d", "__h").agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
 
 
@@ -159,8 +165,8 @@ def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: int =
     further up in the same text. Lines are alike when their words are; lines without words don't count
     for runs and go where the lines before and after them go. Winnowing picks in each window of lines the
     least hash of a line gram, so any repeated run shares a fingerprint; positions are joined on it, and
-    around each hit the runs of `min_words` words forward and backward of every line are compared, which
-    together extend the match to its full length. Rows alike in doc_id and text count as one document.
+    around each hit the runs of `min_words` words forward and backward of every line are compared by 128 bits
+    of hashes, which together extend the match both ways to its full length. Rows alike in doc_id and text count as one document.
     Null text stays null, empty text empty; an empty table gives an empty one. `count` names a column for
     the number of deleted lines; `drop_emptied` drops the rows that lost all their words.
     """
