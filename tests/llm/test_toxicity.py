@@ -30,7 +30,8 @@ def test_distance_stays_within_a_text():
 def test_isotonic_is_the_best_monotone_fit():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, 12, 80).astype(float), rng.integers(0, 2, 80).astype(float)
-    at, value = isotonic(x, y)
+    at, centre, value = isotonic(x, y)
+    assert (at <= centre).all() and (np.diff(centre) > 0).all()
     fit = value[np.searchsorted(at, x, "right") - 1]
     assert (np.diff(value) > 0).all()
     for k in range(12):  # every lower set is below, every upper set above its mean: the characterisation of the fit
@@ -39,6 +40,18 @@ def test_isotonic_is_the_best_monotone_fit():
     assert (y - fit).sum() == pytest.approx(0)
 
 
+def test_scores_between_pools_are_calibrated():
+    rng = np.random.default_rng(3)
+    x = rng.random(4000)
+    _, centre, value = isotonic(x, (rng.random(4000) < x**3).astype(float))
+    new = rng.random(20000)
+    got = np.interp(new, centre, value)
+    assert abs(got.mean() - (new**3).mean()) < 0.02
+    for low in np.arange(0, 1, 0.2):
+        at = (new >= low) & (new < low + 0.2)
+        assert abs(got[at].mean() - (new[at] ** 3).mean()) < 0.05
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))

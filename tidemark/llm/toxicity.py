@@ -177,24 +177,24 @@ class Boosting:
         return out
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (from, value) of the best non-decreasing fit of y on x, by pooling adjacent violators."""
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, centre, value) of the pools of the best non-decreasing fit of y on x, by pooling adjacent violators."""
     xs, at = np.unique(x, return_inverse=True)
     total, count = np.bincount(at, y), np.bincount(at).astype(float)
     pools: list[list[float]] = []
     for k in range(len(xs)):
-        pools.append([xs[k], total[k], count[k]])
+        pools.append([xs[k] * count[k], total[k], count[k], xs[k]])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            _, t, c = pools.pop()
-            pools[-1][1] += t
-            pools[-1][2] += c
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+            for i, v in enumerate(pools.pop()[:3]):
+                pools[-1][i] += v
+    return np.array([p[3] for p in pools]), np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
 class Model:
     def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, calibrate: np.ndarray):
         self.lexicon, self.trees = lexicon, Boosting(x[~calibrate], y[~calibrate])
-        self.steps, self.values = isotonic(self.trees.margin(x[calibrate]), y[calibrate]) if calibrate.any() else (np.zeros(0), np.zeros(0))
+        # Between the centres of pools scores go in a straight line, so that a pool's texts have its rate on average.
+        _, self.steps, self.values = isotonic(self.trees.margin(x[calibrate]), y[calibrate]) if calibrate.any() else (np.zeros(0),) * 3
 
     def scores(self, text: pa.Array) -> np.ndarray:
         margin = self.trees.margin(self.lexicon.features(text))
@@ -206,38 +206,55 @@ class Model:
 def train(labelled: DataFrame, *, learnt_words: int = LEARNT_WORDS) -> Model:
     """A model of `toxic` (0 or 1) by `text`; the rows should be a bounded sample.
 
-    Half of the rows, by a hash of the text, give the learnt words and the trees, with a part of it left
-    out for the calibration, so that no text counts for both.
+    Seven tenths of the rows, by a hash of the text, give the learnt words and the trees; the others calibrate,
+    so that no text counts for both. Trees see a text by words that were learnt from the other half of these
+    rows, as they will see new ones. Null texts count as empty, repeated rows count each for itself; without
+    rows, or with one label only, every text gets about the share of toxic rows.
     """
-    rows = cut(labelled.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("toxic"), (F.pmod(F.xxhash64("text"), F.lit(10)) < 3).alias("calibrate")), "labelled")
+    part = F.pmod(F.xxhash64("text"), F.lit(20))
+    fold = F.when(part < 6, 2).otherwise(part % 2).cast("int")  # 2: for calibration
+    rows = cut(labelled.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("toxic")).withColumn("fold", fold), "labelled")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, toxic = one_array(batch.column(0)), batch.column(1).to_numpy()
+            text, toxic, fold = one_array(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for i, j in chunks(text):
                 w = _plain(*text_bytes(text.slice(i, j - i)))
                 found = [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(toxic[i:j], [len(x) for x in found]))], names=["word", "toxic"])
-
-    fit = rows.where("not calibrate")
-    n, bad = fit.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
-    words = fit.select("text", "toxic").mapInArrow(tidy(spread), "word long, toxic double").groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("c"))
-    share = bad / max(n, 1)
-    odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") - F.col("t") + 0.5) / (n - bad + 1))
-    strength = (F.col("t") - share * F.col("c")) / F.sqrt(F.col("c") * share * (1 - share) + 1)
-    best = words.where(F.col("t") >= 4).withColumns({"odds": odds, "z": strength}).where("odds > 1 and z > 5").orderBy(F.desc("z"), "word").limit(learnt_words).toArrow()
-    lexicon = Lexicon(best["word"].to_numpy().view(U64), best["odds"].to_numpy())
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+                size = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(toxic[i:j], size)), pa.array(np.repeat(fold[i:j], size))], names=["word", "toxic", "fold"])
+
+    fit = rows.where("fold < 2")
+    sums = {r["fold"]: (r["n"], r["bad"]) for r in fit.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()}
+    count = lambda k: F.count_if(F.col("fold") == k)
+    bad_of = lambda k: F.sum(F.when(F.col("fold") == k, F.col("toxic")).otherwise(0.0))
+    words = fit.mapInArrow(tidy(spread), "word long, toxic double, fold int").groupBy("word").agg(bad_of(0).alias("t0"), count(0).alias("c0"), bad_of(1).alias("t1"), count(1).alias("c1"))
+    words = cut(words.where("t0 >= 2 or t1 >= 2"), "words")
+
+    def learnt(folds: tuple[int, ...]) -> Lexicon:
+        n, bad = (sum(sums.get(k, (0, 0.0))[i] for k in folds) for i in (0, 1))
+        share, t, c = bad / max(n, 1), sum(F.col(f"t{k}") for k in folds), sum(F.col(f"c{k}") for k in folds)
+        odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") - F.col("t") + 0.5) / (n - bad + 1))
+        strength = (F.col("t") - share * F.col("c")) / F.sqrt(F.col("c") * share * (1 - share) + 1)
+        found = words.select("word", t.alias("t"), c.alias("c")).where(F.col("t") >= 2 + len(folds)).withColumns({"odds": odds, "z": strength})
+        best = found.where("odds > 1 and z > 5").orderBy(F.desc("z"), "word").limit(learnt_words).toArrow()
+        return Lexicon(best["word"].to_numpy().view(U64), best["odds"].to_numpy())
+
+    lexicon = learnt((0, 1))
+    shared = rows.sparkSession.sparkContext.broadcast((learnt((1,)), learnt((0,)), lexicon))
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = one_array(batch.column(0))
-            x = np.concatenate([shared.value.features(text.slice(i, j - i)) for i, j in chunks(text)]) if len(text) else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(x.shape[1])), batch.column(1), batch.column(2)], names=[*FEATURES, "toxic", "calibrate"])
-
-    table = rows.mapInArrow(tidy(dense), ", ".join(f"{f} double" for f in FEATURES) + ", toxic double, calibrate boolean").toArrow()
+            fold = batch.column(2).to_numpy()
+            for k, own in enumerate(shared.value):
+                part = batch.filter(pa.array(fold == k))
+                text = one_array(part.column(0))
+                x = np.concatenate([own.features(text.slice(i, j - i)) for i, j in chunks(text)]) if len(text) else np.zeros((0, len(FEATURES)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, f]) for f in range(x.shape[1])), part.column(1), part.column(2)], names=[*FEATURES, "toxic", "fold"])
+
+    table = rows.mapInArrow(tidy(dense), ", ".join(f"{f} double" for f in FEATURES) + ", toxic double, fold int").toArrow()
     x = np.stack([table[f].to_numpy() for f in FEATURES], 1)
-    y, calibrate = table["toxic"].to_numpy(), table["calibrate"].to_numpy()
+    y, calibrate = table["toxic"].to_numpy(), table["fold"].to_numpy() == 2
     order = np.lexsort((y, *x.T))
     return Model(lexicon, x[order], y[order], calibrate[order])
 
@@ -257,8 +274,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
 def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with score (0 to 1) and predicted (1 from `threshold` on), by whole text.
 
-    Null and empty texts get the score of a text without words; an empty table gives an empty one; columns
-    of `docs` named like the results are replaced.
+    Null and empty texts get the score of a text without words; repeated rows get equal scores; texts that tie
+    in all features do too; an empty table gives an empty one; columns of `docs` named like the results are
+    replaced.
     """
     made = ("score", "predicted")
     rows = docs.drop(*[c for c in docs.columns if c in made])
