@@ -74,3 +74,28 @@ def test_nothing_to_learn_from(spark):
     model = train(spark.createDataFrame([], "text string, lang string"))
     out = identify(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).collect()
     assert out[0].lang_pred == "und" and out[0].rejected
+
+
+def made_language(seed, n_words=400):
+    """Words of the language's own syllables, the frequent ones shorter."""
+    rng = random.Random(seed)
+    syllables = ["".join(rng.choice(x) for x in ("bcdfghklmnprstvwz", "aeiouäéü", "nrslmt"))[: rng.choice([2, 3])] for _ in range(30)]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n_words)]
+    return lambda rng, n: [" ".join(rng.choice(words[: rng.choice([20, n_words])]) for _ in range(rng.randint(3, 300))) for _ in range(n)]
+
+
+def test_rejection_is_calibrated(spark):
+    """Texts of the learnt languages stay; junk of letters and a language that was left out go."""
+    rng = random.Random(7)
+    langs = [made_language(k) for k in range(5)]
+    learn = [(t, f"l{k}") for k in range(4) for t in langs[k](rng, 400)]
+    model = train(spark.createDataFrame(learn, "text string, lang string"))
+    frame = lambda texts: spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    own = identify(frame([t for k in range(4) for t in langs[k](rng, 250)]), model).collect()
+    assert sum(r.rejected for r in own) <= 5
+    long = [t for t in langs[4](rng, 200) if len(t) > 100]
+    assert sum(r.rejected for r in identify(frame(long), model).collect()) >= 0.9 * len(long)
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxyzaeiou   ") for _ in range(rng.randint(60, 400))) for _ in range(100)]
+    assert sum(r.rejected for r in identify(frame(junk), model).collect()) >= 98
+    tied = Model({"b": ["aaa"], "a": ["aaa"]}, order=2)
+    assert tied.predict(["aa", "aa"])[0].tolist() == [0, 0] and tied.languages[0] == "a"

@@ -19,10 +19,11 @@ DISCOUNT = 0.75
 #: of those a model takes whole texts until it has this many characters.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 600_000
-#: A text is rejected when its cross-entropy is so many calibrated deviations above what texts of its
-#: length have in calibration, and SLACK bits besides, as whole documents differ in what they mix.
-DEVIATIONS = 6.0
-SLACK = 1.0
+#: Characters of the samples of all languages together; with very many languages each has less.
+MODEL_CHARS = 60_000_000
+#: Share of texts like those of calibration that may be rejected, symbols from which on a text is long, and the
+#: bits for each symbol by which a text has to be above the calibrated bound as well.
+FALSE_REJECTION, LONG, MARGIN = 0.001, 300, 0.5
 UNKNOWN = "und"
 SEED = "lid-1"
 
@@ -136,6 +137,11 @@ def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (table[at] == h if len(table) else np.zeros(len(h), bool))
 
 
+def _keeps(x: np.ndarray) -> float:
+    """The value that all but FALSE_REJECTION of more such values stay under, as far as these can tell."""
+    return float(np.sort(x)[min(len(x), int(np.ceil((len(x) + 1) * (1 - FALSE_REJECTION)))) - 1])
+
+
 class Model:
     """The languages' models side by side: sorted n-gram hashes with each language's log probability."""
 
@@ -159,7 +165,8 @@ class Model:
             self.rest.append(np.log2(np.stack([m.backoff(grams) for m in models], 1)) if n and k < order else np.zeros((len(grams), n)))
         self.floor = np.log2(np.stack([m.probability(np.zeros((1, 0), np.uint32)) for m in models], 1))[0] if n else np.zeros(0)
         self.unseen = np.log2(np.array([m.grams[0][3][0] if len(m.grams[0][3]) else 1.0 for m in models])) + self.floor if n else np.zeros(0)
-        self.mean, self.spread, self.slope = np.zeros(n), np.ones(n), 1.0
+        self.mean, self.slope = np.zeros(n), 1.0
+        self.bound, self.short = np.inf, 0.0
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits for each symbol by language, the number of symbols, and whether one is a letter, of each text."""
@@ -202,24 +209,34 @@ class Model:
         low = bits[np.arange(len(texts)), best]
         odds = np.exp(-np.minimum((bits - low[:, None]) * np.sqrt(np.maximum(n, 1))[:, None] * self.slope, 700))
         score = np.where(has, 1 / odds.sum(1), 0.0)
-        reject = ~has | (low > self.mean[best] + SLACK + DEVIATIONS * self.spread[best] / np.sqrt(np.maximum(n, 1)))
+        reject = ~has | (low - self.mean[best] > self.bound + MARGIN + self.short / np.sqrt(np.maximum(n, 1)))
         return np.where(has, best, -1), score, reject
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
-        """Mean cross-entropy and its deviation for one symbol by language, and the slope of the score."""
-        margins = []
+        """Mean cross-entropy by language, the bound above it that a text may reach, and the slope of the score.
+
+        What a text's cross-entropy is above its language's mean has a bound for long texts, and one that adds
+        to it by the root of the length for short ones. Each is the value that all but FALSE_REJECTION of
+        calibration texts keep, or all of them if they are fewer than that takes.
+        """
+        margins, above, sizes = [], [], []
+        self.mean[:] = np.nan
         for k, x in enumerate(self.languages):
             if not texts.get(x):
-                self.mean[k] = np.inf
                 continue
             bits, n, ok = self.entropies(texts[x])
             if not ok.any():
-                self.mean[k] = np.inf
                 continue
             own, n = bits[ok, k], n[ok]
             self.mean[k] = np.average(own, weights=n)
-            self.spread[k] = np.sqrt(np.mean(np.square(own - self.mean[k]) * n)) + 0.5
+            above.append(own - self.mean[k])
+            sizes.append(n)
             margins.append((bits[ok] - own[:, None], n))
+        if margins:
+            self.mean[np.isnan(self.mean)] = np.nanmean(self.mean)  # a language without calibration texts is as the others
+            e, n = np.concatenate(above), np.concatenate(sizes)
+            self.bound = _keeps(e[n >= LONG] if (n >= LONG).any() else e)
+            self.short = max(0.0, _keeps((e - self.bound) * np.sqrt(n)))
         slopes = 2.0 ** np.arange(-4, 8)
         losses = [sum(np.log(np.exp(-np.clip(m * np.sqrt(n)[:, None] * s, -700, 700)).sum(1)).sum() for m, n in margins) for s in slopes]
         self.slope = float(slopes[int(np.argmin(losses))]) if margins else 1.0
@@ -235,7 +252,9 @@ def train(labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_
     rows = labelled.where("text is not null and lang is not null").select("lang", "text")
     counts = rows.groupBy("lang").count()
     pick = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / float(1 << 30)
-    few = F.broadcast(counts) if counts.count() <= 10_000 else counts
+    n_languages = counts.count()
+    sample_chars = min(sample_chars, MODEL_CHARS // max(1, 2 * n_languages))
+    few = F.broadcast(counts) if n_languages <= 10_000 else counts
     picked = rows.join(few, "lang").withColumn("__pick", pick * F.col("count") / sample_docs).where("__pick < 2")
     picked = picked.select("lang", "text", "__pick").dropDuplicates(["lang", "text"])
 
@@ -262,8 +281,9 @@ def identify(docs: DataFrame, model: Model, *, only_accepted: bool = False) -> D
 
     lang_pred has the lowest cross-entropy for each symbol, ties to the first language in order; `und`
     with score 0 for null texts and those without letters, all of which are rejected. score is the
-    calibrated probability of lang_pred among the languages. A text is also rejected if its cross-entropy
-    is far above that of calibration texts of its length. Symbols are lower-case letters; each run of
+    calibrated probability of lang_pred among the languages. A text is also rejected if its cross-entropy is
+    further above its language's mean than calibration texts of its length reach, of which one in a thousand
+    would be. Texts that tie in cross-entropy, such as repeated rows, get the same. Symbols are lower-case letters; each run of
     other characters counts as one space. An empty table gives an empty one; columns of `docs` named like
     the results are replaced.
     """
