@@ -3,25 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, chunks, lean, mix, one_array, text_bytes, tidy
+from .common import BASE, U64, Words, chunks, cut, lean, mix, one_array, text_bytes, tidy
 
 #: Words of an overlap, and how many of them may be substituted.
 WINDOW = 13
 SUBSTITUTIONS = 2
-#: Shortest item that can match; items under WINDOW words match whole and exactly.
-LEAST = 5
-#: Any WINDOW words with up to two substituted agree on the 1s of one of these masks somewhere.
-MASKS = ("11101111", "11110010011", "10010111101")
+#: Items of so few words don't count; with 1, all of them do.
+LEAST = 1
+#: Any 13 words with up to two substituted agree on the 1s of one of these masks somewhere.
+MASKS_13_2 = ("11101111", "11110010011", "10010111101")
 #: The benchmark is taken in blocks of about so many items and bytes; each is sent to all tasks.
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16_000_000
 SIEVE = 1 << 22
+#: Hits that are held at once.
+HITS = 1 << 20
+
+
+def allowed(length: int, window: int, substitutions: int) -> int:
+    """Substitutions in an overlap of `length` words: in proportion where an item is shorter than the window."""
+    return substitutions if length >= window else substitutions * length // window
+
+
+def masks(length: int, substitutions: int) -> tuple[str, ...]:
+    """Seeds of which every run of `length` words with so many substituted has one that none of them touches.
+
+    For 13 and 2 three masks found by search; for others one mask of a part's length, as of as many parts of
+    the run as substitutions, and one more, one is untouched.
+    """
+    if (length, substitutions) == (13, 2):
+        return MASKS_13_2
+    return ("1" * max(1, length // (substitutions + 1)),)
+
+
+def covers(seeds: tuple[str, ...], length: int, substitutions: int) -> bool:
+    """Whether the seeds do what `masks` says, by trying all places of substitutions."""
+    spots = [{k + i for i, bit in enumerate(m) if bit == "1"} for m in seeds for k in range(length - len(m) + 1)]
+    return all(any(not x & set(gone) for x in spots) for gone in combinations(range(length), min(substitutions, length)))
 
 
 def _masked(h: np.ndarray, mask: str) -> np.ndarray:
@@ -39,19 +64,21 @@ def _masked(h: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """Sorted hashes of all masked windows of a block of items, with the item and word of each."""
 
-    def __init__(self, texts: pa.Array, window: int, substitutions: int):
+    def __init__(self, texts: pa.Array, window: int, substitutions: int, least: int = LEAST):
         raw, at = text_bytes(texts)
         words = Words(raw, at)
         self.window, self.substitutions = window, substitutions
         self.items = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        self.masks = list(MASKS) if any(len(x) >= window for x in self.items) else []
-        self.masks += ["1" * n for n in sorted({len(x) for x in self.items if LEAST <= len(x) < window})]
-        found = []
+        by_mask: dict[str, list[int]] = {}
         for k, x in enumerate(self.items):
-            for mask in self.masks:
-                if len(x) >= window if mask in MASKS else len(x) == len(mask):
-                    h = _masked(x, mask)
-                    found.append((h, np.full(len(h), k), np.arange(len(h))))
+            need = min(window, len(x))
+            for mask in masks(need, allowed(need, window, substitutions)) if len(x) >= max(1, least) else ():
+                by_mask.setdefault(mask, []).append(k)
+        self.masks, found = sorted(by_mask), []
+        for mask in self.masks:
+            for k in by_mask[mask]:
+                h = _masked(self.items[k], mask)
+                found.append((h, np.full(len(h), k), np.arange(len(h))))
         h, item, word = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, int), np.zeros(0, int))
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.word = h[order], item[order], word[order]
@@ -62,20 +89,34 @@ class Seeds:
         """(text, item, overlapping words of the item, first such word of the text)."""
         if not len(self.hash):
             return
-        hits = []
+        covered: dict[tuple[int, int], list] = {}
+        hits: list[np.ndarray] = []
+        held = 0
         for mask in self.masks:
             h = _masked(words.hash, mask)
             at = np.flatnonzero(self.sieve[h & U64(SIEVE - 1)])
             lo, hi = np.searchsorted(self.hash, h[at]), np.searchsorted(self.hash, h[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if len(at):
-                which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                place = np.repeat(at, n)
+            # A seed that many items share makes many hits of each place: they are verified in parts.
+            ends = np.cumsum(n)
+            for a, b in _parts(ends, HITS):
+                some = n[a:b]
+                which = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(some)[:-1]]), some) + np.arange(some.sum())
+                place = np.repeat(at[a:b], some)
                 hits.append(np.stack([np.searchsorted(words.first, place, "right") - 1, self.item[which], place - self.word[which]], 1))
-        if not hits:
-            return
-        covered: dict[tuple[int, int], list] = {}
-        for doc, item, start in np.unique(np.concatenate(hits), axis=0):
+                held += len(place)
+                if held >= HITS:
+                    self._verify(words, np.concatenate(hits), covered)
+                    hits, held = [], 0
+        if hits:
+            self._verify(words, np.concatenate(hits), covered)
+        for (doc, item), (seen, first) in covered.items():
+            yield doc, item, int(seen.sum()), first
+
+
+    def _verify(self, words: Words, hits: np.ndarray, covered: dict[tuple[int, int], list]) -> None:
+        """Compares each item that a hit names with the words around the hit."""
+        for doc, item, start in np.unique(hits, axis=0):
             x = self.items[item]
             need = min(self.window, len(x))
             a, b = max(start, words.first[doc]), min(start + len(x), words.first[doc + 1])
@@ -83,17 +124,26 @@ class Seeds:
                 continue
             same = words.hash[a:b] == x[a - start : b - start]
             total = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(total[need:] - total[:-need] >= need - (self.substitutions if len(x) >= self.window else 0))
+            good = np.flatnonzero(total[need:] - total[:-need] >= need - allowed(need, self.window, self.substitutions))
             if len(good):
                 seen = covered.setdefault((int(doc), int(item)), [np.zeros(len(x), bool), int(a + good[0] - words.first[doc])])
+                seen[1] = min(seen[1], int(a + good[0] - words.first[doc]))
                 for g in good:
                     seen[0][a - start + g : a - start + g + need] = True
-        for (doc, item), (seen, first) in covered.items():
-            yield doc, item, int(seen.sum()), first
+
+
+def _parts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of places whose numbers add up to `size` at most, or one place."""
+    a, done = 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield a, b
+        a, done = b, int(ends[b - 1])
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[tuple[list, pa.Array]]:
-    """Items of one block after the other; a block is a hash class of items, whole."""
+    """Different items of one block after the other; a block is a hash class of them, whole."""
+    benchmark = cut(benchmark.where("text is not null").distinct(), "items")
     n, size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-n // block_items), -(-size // BLOCK_BYTES))
     for k in range(parts):
@@ -101,20 +151,21 @@ def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[tuple[list, pa.A
         yield rows["item_id"].to_pylist(), one_array(rows["text"]).cast(pa.string())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, least: int = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, overlap, word): a row for each text and benchmark item that overlap.
 
     They overlap where `window` consecutive words of each agree, up to `substitutions` of them; an item
-    of fewer words (five at least) must stand whole and exactly in the text. `overlap` counts the item's
-    words in such windows, `word` is the place of the first in the text. The masks of fixed seeds find
-    every overlap of 13 words with two substituted; other windows may find fewer. Null or empty texts
-    and shorter items match nothing; repeated rows match each for itself; empty tables give no rows.
+    of fewer words must stand whole in the text, with substitutions in proportion. `overlap` counts the
+    item's words in such windows, `word` is the place of the first in the text. Seeds find every overlap, for
+    any window. Null or empty texts and items match nothing, nor items of under `least` words; repeated
+    documents match each for itself, repeated items count once; empty tables give no rows. Other columns are
+    not looked at.
     """
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     spark, out = lean(docs.sparkSession), None
     for ids, texts in _blocks(benchmark, block_items):
-        seeds = spark.sparkContext.broadcast((ids, Seeds(texts, window, substitutions)))
+        seeds = spark.sparkContext.broadcast((ids, Seeds(texts, window, substitutions, least)))
 
         def probe(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             ids, index = seeds.value
@@ -134,14 +185,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, least: int = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """`docs` without the rows whose text overlaps a benchmark item, as `contamination` finds them.
 
-    Rows with null or empty text stay. No shuffle: each task drops rows as it reads them.
+    Rows with null or empty text stay; repeated rows stay or go together; all columns stay as they are, whatever
+    their names. No shuffle: each task drops rows as it reads them.
     """
     spark, at = lean(docs.sparkSession), docs.columns.index("text")
     for _, texts in _blocks(benchmark.select("item_id", "text"), block_items):
-        seeds = spark.sparkContext.broadcast(Seeds(texts, window, substitutions))
+        seeds = spark.sparkContext.broadcast(Seeds(texts, window, substitutions, least))
 
         def clean(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
