@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, lean, one_array, open_fs, publish, shared_path, tidy
+from .common import cut, lean, one_array, open_fs, publish, shared_path, tidy
 
 MAGIC = b"WARC/1."
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -28,6 +28,7 @@ HEADER_BYTES = 1 << 16
 MIN_BYTES = 0
 #: Tables of up to so many repeated payloads (under 30 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 200_000
+SALTS = 64
 FIELDS = "record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -97,7 +98,13 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = MIN_BYTES,
     key = F.sha1(F.col("html").cast("binary"))
     seen = rows.where(F.octet_length("html") >= min_bytes).groupBy(key.alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last"))
     twice = cut(seen.where("n > 1").select("sha", "last"), "payloads")
-    joined = rows.withColumn("sha", key).join(broadcast_if_small(twice, twice.count(), BROADCAST_ROWS), "sha", "left")
+    n_twice = twice.count()
+    rows = rows.withColumn("sha", key)
+    if n_twice <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(twice), "sha", "left")
+    else:  # a payload of very many pages, such as an empty one, is dealt over SALTS tasks
+        salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
     last = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last"))
     joined = joined.select("page_id", "url", "html", last.alias("refers_to"))
     suffix = ".warc.gz" if compress else ".warc"
@@ -147,7 +154,7 @@ class _Bytes:
     def upto(self, end: int) -> bytes:
         if end - self.begin > len(self.data) and self.begin + len(self.data) < self.size:
             at = self.begin + len(self.data)
-            self.data += self.f.read_at(min(max(end - at, 1 << 20), self.size - at), at)
+            self.data += self.f.read_at(min(max(end - at, 1 << 20, len(self.data)), self.size - at), at)  # twice as much each time
         return self.data
 
     def blank_line(self, place: int) -> int:
