@@ -6,12 +6,8 @@ lower-cased. They are found and hashed for a whole batch of texts at once, on th
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..scratch import cut as cut
+from ..scratch import drop as drop
+from ..scratch import shared_path as shared_path
 from ..sources.location import open_fs as open_fs
 
 U64 = np.uint64
@@ -157,38 +156,6 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, kind))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of ours where unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("spark.tidemark.shared.dir", None)
-        if not at:
-            own = tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            at = f"file://{own}"
-            spark.conf.set("spark.tidemark.shared.dir", at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-#: Rows of a file of an intermediate table whose size is known.
-FILE_ROWS = 100_000
-
-
-def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
-    """The same rows read from a table written to the shared folder: lineage ends there.
-
-    `rows` is a bound of their number; the table then has no more files than these rows need.
-    """
-    spark = df.sparkSession
-    at = shared_path(spark, name)
-    (df if rows is None else df.repartition(max(1, -(-rows // FILE_ROWS)))).write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint where the counted rows stay under the limit; else Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df

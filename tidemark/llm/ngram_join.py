@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, shingle_sets, text_bytes, tidy
+from .common import U64, Words, broadcast_if_small, chunks, cut, drop, lean, list_array, mix, one_array, shingle_sets, text_bytes, tidy
 
 SHINGLE = 5
 #: Similarity in per cent, as integers on both sides of the comparison.
@@ -405,17 +405,18 @@ def components(links: DataFrame, rows: int, known: DataFrame | None = None) -> D
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", 2 * rows)
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node")
     if known is not None:
-        before = known.withColumnRenamed("comp", "__c")
-        labels = labels.join(before, "node", "left").select("node", F.least("comp", "__c").alias("comp"))
-    labels = cut(labels, "labels", 2 * rows)
+        labels = labels.join(known.withColumnRenamed("comp", "__c"), "node", "left").select("node", F.least("comp", "__c").alias("comp"))
+    labels = before = cut(labels, "labels", 2 * rows)
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
         new = cut(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels", 2 * rows)
         changed = new.where("old <> comp").limit(1).count()
-        labels = new.select("node", "comp")
+        drop(before)
+        labels, before = new.select("node", "comp"), new
         if not changed:
+            drop(both)
             return labels
 
 
