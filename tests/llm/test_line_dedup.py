@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from tidemark.llm import line_dedup as module
 from tidemark.llm.line_dedup import line_dedup
 
 
@@ -32,7 +34,10 @@ def brute(docs, least):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_against_brute_force(spark, monkeypatch, limit):
+    for name in ("BROADCAST_KEYS", "BROADCAST_RUNS"):
+        monkeypatch.setattr(module, name, limit)
     rng = random.Random(3)
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(25)] + [""]
     docs = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25)))) for k in range(120)]

@@ -94,8 +94,9 @@ def test_targets_and_takings(spark, shard, block, group):
     assert all(0 <= r.taken <= 3 * r["size"] for r in got)
 
 
-@pytest.mark.parametrize("shard,group", [(1024, 1024), (8, 2)])
-def test_sql_is_the_same(spark, monkeypatch, shard, group):
+@pytest.mark.parametrize("shard,group,limit", [(1024, 1024, 100_000), (8, 2, 100_000), (8, 2, 0)])
+def test_sql_is_the_same(spark, monkeypatch, shard, group, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
     docs = [d for d in documents(5) if d[0] is not None]
     docs += [docs[7]] * 5 + [docs[8]] * 3
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")

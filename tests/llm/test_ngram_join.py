@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from tidemark.llm import ngram_join
 from tidemark.llm.common import mix
 from tidemark.llm.ngram_join import Hot, block_keys, classes, components, keep_one, similarity_classes
 
@@ -65,12 +66,13 @@ def test_linked_sets_share_a_key():
             assert union_limit
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     docs = made(random.Random(11), 260)
     rng = random.Random(4)
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for params in ({}, {"group": 3, "chunk": 2}):
+    for params, limit in (({}, 1_000_000), ({"group": 3, "chunk": 2}, 0)):
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", limit)
         got = similarity_classes(df, **params)
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
 
@@ -132,8 +134,6 @@ def test_near_copies_without_id(spark):
 
 def test_hot_groups_are_dealt_by_node(spark, monkeypatch):
     """Groups above every bound, dealt over all tasks, and compared with a main component and what is outside it."""
-    from tidemark.llm import ngram_join
-
     rng, docs = random.Random(8), []
     base = [f"w{k}" for k in range(120)]
     for _ in range(90):

@@ -60,6 +60,15 @@ def test_long_urls(spark, compress, block):
     assert {r.page_id: r.url for r in got.collect()} == {p: u for p, u, _ in rows}
 
 
+def test_hot_payloads_by_shuffle(spark, monkeypatch):
+    """The way for more repeated payloads than are broadcast; a third of all pages is empty, one url has 5 MB."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(k, "u" * (5 << 20) if k == 7 else f"http://h/{k}", ["", "same", f"own {k}"][k % 3]) for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.archive_pages(df, block_bytes=100_000).select(COLUMNS).collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
 def test_all_of_bigint(spark):
     ids = [2**63 - 1, -(2**63), 10**18, -(10**18), 10**18 - 1, 0]
     rows = [(p, "u", "same" if k < 2 else f"body {k}") for k, p in enumerate(ids)] + [(-(2**63) + 1, "u", "low"), (-(2**63), "u", "low"), (None, "u", "same")]

@@ -145,11 +145,12 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: in
     place = F.struct("__d", "__h", "pos")
     # Sums by key go out of each task first; what many texts share then meets them in a broadcast, or in a
     # join of its own that Spark can split.
-    repeated = cut(prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "fingerprints")
+    about = 4 * lines.count()  # of repeated fingerprints and runs, for the number of files
+    repeated = cut(prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "fingerprints", about)
     hits = prints.join(broadcast_if_small(repeated, repeated.count(), BROADCAST_KEYS), "fp", "left_semi").groupBy("__d", "__h").agg(F.collect_set("pos").alias("hits"))
     seg = lines.join(hits, ["__d", "__h"]).select("__d", "__h", "line", "hash", "other", "words", "hits").mapInArrow(tidy(_segments(min_words)), "seg long, seg2 long, __d long, __h long, pos int, first int, last int")
     seg = cut(seg, "segments")
-    first = cut(seg.groupBy("seg", "seg2").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").drop("end"), "origins")
+    first = cut(seg.groupBy("seg", "seg2").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").drop("end"), "origins", about)
     later = seg.join(broadcast_if_small(first, first.count(), BROADCAST_KEYS), ["seg", "seg2"]).where(place > F.col("origin"))
     return later.groupBy("__d", "__h").agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
 
