@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import shutil
 import subprocess
 import sys
 import threading
@@ -187,6 +188,16 @@ def test_streams_write_each_batch_once(spark, tmp_path):
     assert seen(store.live()) == {"a": "2", "b": "1"}
 
 
+def test_views_outlive_their_files(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.write(writes(spark, [("a", "1"), ("b", "2")]))
+    view = store.view()
+    assert seen(view.live()) == {"a": "1", "b": "2"}
+    shutil.rmtree(tmp_path / "s" / "data")
+    assert seen(view.batch_get(keys(spark, "a", "c"))) == {"a": "1"}
+    view.close()
+
+
 def test_change_feed(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     spark.dataSource.register(ManifestChanges)

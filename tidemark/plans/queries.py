@@ -376,6 +376,15 @@ def latency_quantiles(spark, sf_dir):
     return got.select("service", *(F.round(c, 6).alias(c) for c in ("p50_ms", "p90_ms", "p99_ms")))
 
 
+@query(
+    """SELECT user_id::VARCHAR AS service, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.9) AS p90_ms, quantile_disc(value, 0.99) AS p99_ms
+    FROM events WHERE event_type <> 'error' GROUP BY service"""
+)
+def latency_quantiles_sketch(spark, sf_dir):
+    """The bounded sketch, which is exact to a ten-thousandth of the rank."""
+    return metrics.latency_quantiles(_served(spark, sf_dir).where("ok"))
+
+
 _FILL = f"repeat('{load.ALPHABET}', 2)"
 LOAD = f"WITH k AS (SELECT kind, i AS index, kind || lpad(i::VARCHAR, 4, '0') || '_' || substr({_FILL}, 1, 10) AS key FROM unnest(['W', 'U', 'D']) x(kind), range(30) y(i)) "
 
@@ -385,6 +394,11 @@ def stress_keys(spark, sf_dir):
     return load.load_keys(spark)
 
 
+@query(f"SELECT n, substr(repeat('{load.ALPHABET}', 5), 1, n::INT) AS value FROM range(200) t(n)")
+def stress_values(spark, sf_dir):
+    return spark.range(200).select(F.col("id").alias("n"), load.filler(F.col("id").cast("int")).alias("value"))
+
+
 @query("SELECT i AS read, CASE i % 3 WHEN 0 THEN 'W' WHEN 1 THEN 'U' ELSE 'D' END AS kind FROM range(90) t(i)")
 def read_mode_mixed(spark, sf_dir):
     return spark.range(90).select(F.col("id").alias("read"), load.chosen_class("mixed", F.col("id")).alias("kind"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,22 @@ class InvalidLookup(ValueError):
     """The request names no file or no keys."""
 
 
+class View:
+    """The records of one version, kept by Spark; `close` gives them up."""
+
+    def __init__(self, records: DataFrame):
+        self.records = records
+
+    def live(self) -> DataFrame:
+        return merge.live(self.records, ORDER).select("key", "value")
+
+    def batch_get(self, keys: DataFrame) -> DataFrame:
+        return lookup.batch_get(self.records, keys, ORDER)
+
+    def close(self) -> None:
+        self.records.unpersist()
+
+
 class Store:
     """Data files are Parquet, sorted by key: key, value, tombstone, seq and pos. `seq` is null in a fresh
     file, whose number is given at its commit, and kept for each record in compacted ones, so that a merge
@@ -133,6 +150,11 @@ class Store:
         """(key, value) of the requested keys that are visible."""
         return lookup.batch_get(self.requested(keys, version), keys, ORDER)
 
+    def view(self, version: int | None = None, *, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> View:
+        """One version, read through Spark's cache: its files are read once, and later reads are served even
+        if they are gone meanwhile."""
+        return View(self.all_records(version).persist(level))
+
     def file_lookup(self, path: str, keys: DataFrame) -> DataFrame:
         """(key, outcome, value) of the keys in one listed or unlisted file set; an empty path or key set is refused."""
         if not path:
