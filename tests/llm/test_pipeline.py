@@ -84,8 +84,7 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
         assert docs.where(F.col("taken") > 0).count() == docs.count() == (2 if given is df else 0)
 
 
-def test_mix_keeps_small_sources_of_large_tables(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCKS", 4)  # a default block is then a quarter of all words
+def test_mix_keeps_small_sources_of_large_tables(spark):
     docs = [(k, "w " * 400, "en", "big", 800) for k in range(30)] + [(100, "w " * 90, "en", "small", 180)]
     got = corpus_pipeline.mix(spark, spark.createDataFrame(docs, COLUMNS), "").collect()
     (small,) = (r for r in got if r.source == "small")
