@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from tidemark.llm import ngram_join
 from tidemark.llm.common import mix
 from tidemark.llm.ngram_join import Hot, block_keys, classes, components, keep_one, similarity_classes
@@ -73,6 +74,7 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for params, limit in (({}, 1_000_000), ({"group": 3, "chunk": 2}, 0)):
         monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(ngram_join, "LOCAL_LINKS", limit)
         got = similarity_classes(df, **params)
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
 
@@ -89,9 +91,27 @@ def test_edges(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [3, 4, 4, 10, 5, 7, 9, 11, 13]))
 
 
-def test_components_of_a_path(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
-    assert {(r.node, r.comp) for r in components(links, 41).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(ngram_join, "LOCAL_LINKS", limit)
+    links = [(k, k + 1) for k in range(40)] + [(100, 101)]
+    got = {(r.node, r.comp) for r in components(spark.createDataFrame(links, "a long, b long"), 41).collect()}
+    assert got == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+    rng = random.Random(3)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long"), 260).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long"), 0).count() == 0
 
 
 def test_links_are_all_counted(spark):

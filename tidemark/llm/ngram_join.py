@@ -37,6 +37,8 @@ COUNTED_ITEMS = 1 << 21
 HOT_SHARE, HOT_SAMPLE, HOT_SHINGLES = 0.004, 20_000, 1 << 18
 #: Keys that so large a share of another sample's sets show are hot: their groups are dealt by node over all tasks.
 KEY_SHARE, KEY_SAMPLE, KEY_LEAST = 0.01, 5_000, 50
+#: Components of up to so many links (16 MB) are found in one task, of more in rounds over all.
+LOCAL_LINKS = 1_000_000
 #: Node tables of up to so many rows (16 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 1_000_000
 STAGE = "kind byte, doc_id long, h long, node long, n long, part int, data binary"
@@ -230,42 +232,51 @@ def group_pairs(key: np.ndarray, node: np.ndarray, group: int) -> tuple[np.ndarr
 def _meet(group: int, hot_keys):
     """Pairs and large groups of each part; documents pass through."""
 
+    def met(packed: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(packed)
+        packed.clear()
+        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        key, node = rows[order, 0], rows[order, 1]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        place = hot_keys.value.find(key)
+        at = np.flatnonzero(place >= 0)
+        a, b, big = group_pairs(key[place < 0], node[place < 0], group)
+        big = np.flatnonzero(place < 0)[big]
+        if len(at):
+            big = np.concatenate([big, at])
+            for lead in (hot_keys.value.low[place[at]], hot_keys.value.high[place[at]]):
+                other = lead != node[at]
+                a, b = np.concatenate([a, lead[other]]), np.concatenate([b, node[at][other]])
+        if len(a):
+            both = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
+            for k in range(0, len(both), 100_000):
+                x = both[k : k + 100_000]
+                yield _rows(FOUND_OUT, kind=pa.array(np.full(len(x), PAIR, np.int8)), node=pa.array(x[:, 0]), other=pa.array(x[:, 1]))
+        for k in range(0, len(big), 100_000):
+            at = big[k : k + 100_000]
+            yield _rows(FOUND_OUT, kind=pa.array(np.full(len(at), MEMBER, np.int8)), node=pa.array(node[at]), key=pa.array(key[at]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part; the keys of one part are held at a time."""
         packed: list[np.ndarray] = []
+        held = None
         for batch in batches:
             is_doc = batch.column(0).to_numpy(zero_copy_only=False) == DOC
             if is_doc.any():
                 docs = batch.filter(pa.array(is_doc))
                 yield _rows(FOUND_OUT, kind=docs.column(0), doc_id=docs.column(1), h=docs.column(2), node=docs.column(3), n=docs.column(4), sketch=docs.column(6))
-            packed += [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in batch.filter(pa.array(~is_doc)).column(6)]
+            rest = batch.filter(pa.array(~is_doc))
+            for part, x in zip(rest.column(5).to_pylist(), rest.column(6), strict=True):
+                if packed and part != held:
+                    yield from met(packed)
+                held = part
+                packed.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2))
         if packed:
-            rows = np.concatenate(packed)
-            packed.clear()
-            order = np.lexsort((rows[:, 1], rows[:, 0]))
-            key, node = rows[order, 0], rows[order, 1]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[new], node[new]
-            place = hot_keys.value.find(key)
-            at = np.flatnonzero(place >= 0)
-            a, b, big = group_pairs(key[place < 0], node[place < 0], group)
-            if len(at):
-                big = np.concatenate([np.flatnonzero(place < 0)[big], at])
-                for lead in (hot_keys.value.low[place[at]], hot_keys.value.high[place[at]]):
-                    other = lead != node[at]
-                    a, b = np.concatenate([a, lead[other]]), np.concatenate([b, node[at][other]])
-            else:
-                big = np.flatnonzero(place < 0)[big]
-            if len(a):
-                both = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-                both = both[np.lexsort((both[:, 1], both[:, 0]))]
-                both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
-                for k in range(0, len(both), 100_000):
-                    x = both[k : k + 100_000]
-                    yield _rows(FOUND_OUT, kind=pa.array(np.full(len(x), PAIR, np.int8)), node=pa.array(x[:, 0]), other=pa.array(x[:, 1]))
-            for k in range(0, len(big), 100_000):
-                at = big[k : k + 100_000]
-                yield _rows(FOUND_OUT, kind=pa.array(np.full(len(at), MEMBER, np.int8)), node=pa.array(node[at]), key=pa.array(key[at]))
+            yield from met(packed)
 
     return run
 
@@ -395,13 +406,37 @@ def common_keys(sample: DataFrame, shingle: int, percent: int, hot, least: int)
     return HotKeys(*(rows[c].to_numpy() for c in ("key", "low", "high")))
 
 
+def _local_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each link's two ends take the lesser of their labels, and labels their label's, until none changes."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if len(b)]
+    if not ends:
+        return
+    node, place = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = place.reshape(-1, 2).T
+    label = np.arange(len(node))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while not np.array_equal(far := new[new], new):
+            new = far
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], names=["node", "comp"])
+
+
 def components(links: DataFrame, rows: int, known: DataFrame | None = None) -> DataFrame:
     """(node, comp) of all nodes in `links` (a, b): comp is the least node reachable.
 
-    Each round takes the least label among neighbours, then the label of that label; every round's
-    labels are a table in the shared folder. Rounds follow the logarithm of the longest path. `rows` is a
-    bound of the number of links, `known` the components of a part of them.
+    A bounded number of links is worked on in one task. With more, each round takes the least label among
+    neighbours, then the label of that label; every round's labels are a table in the shared folder. Rounds
+    follow the logarithm of the longest path. `rows` is a bound of the number of links, `known` the
+    components of a part of them.
     """
+    if rows <= LOCAL_LINKS:
+        return cut(links.select("a", "b").repartition(1).mapInArrow(tidy(_local_components), "node long, comp long"), "labels")
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", 2 * rows)
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node")
     if known is not None:
@@ -453,7 +488,7 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
     hot_keys = spark.sparkContext.broadcast(common_keys(again, shingle, percent, hot, max(group + 1, KEY_LEAST, int(min(rows, KEY_SAMPLE) * KEY_SHARE))))
     staged = docs.mapInArrow(tidy(_sketch(parts, shingle, percent, hot, hot_keys)), STAGE)
     dealt = staged.repartition(width, F.coalesce("part", F.pmod(F.hash("doc_id", "h"), F.lit(parts))))
-    found = cut(dealt.mapInArrow(tidy(_meet(group, hot_keys)), FOUND), "met")
+    found = cut(dealt.sortWithinPartitions("part").mapInArrow(tidy(_meet(group, hot_keys)), FOUND), "met")
     nodes = found.where(f"kind = {DOC}").select("doc_id", "h", "node", "n")
     members = found.where(f"kind = {MEMBER}").select("key", "node")
     large = members.select("node").distinct()
