@@ -157,8 +157,9 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint where the counted rows stay under the limit; else Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+    """A broadcast where the counted rows stay under the limit; else a join by shuffle, whatever Spark guesses
+    from the size of files, which it can split where keys are hot."""
+    return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
 #: Rows of a batch that goes to Python; with long texts the session's 10,000 take much memory on both sides.

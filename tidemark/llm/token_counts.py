@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, cut, lean, list_array, one_array, open_fs, publish, shared_path, tidy
+from .common import broadcast_if_small, chunks, cut, lean, list_array, one_array, open_fs, publish, shared_path, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text into pieces that are encoded one by one; a fixed value of the tokenizer's format.
@@ -67,6 +67,10 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, se
     return cut(rows.mapInArrow(tidy(run), "file string, ordinal long, doc_id long"), "written")
 
 
+#: Tables of up to so many documents (some 15 MB) are broadcast to the counts, larger ones shuffled.
+BROADCAST_ROWS = 100_000
+
+
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, size) of the token files in a folder."""
     from pyarrow import fs as afs
@@ -120,4 +124,5 @@ def token_counts(docs: DataFrame, *, tokenizer: str = TOKENIZER, separator: int
     spark = docs.sparkSession
     folder = shared_path(spark, "tokens")
     written = write_tokens(docs, folder, tokenizer=tokenizer, separator=separator)
-    return written.join(scan(spark, folder, separator=separator, block_tokens=block_tokens), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    found = scan(spark, folder, separator=separator, block_tokens=block_tokens)
+    return found.join(broadcast_if_small(written, written.count(), BROADCAST_ROWS), ["file", "ordinal"]).select("doc_id", "n_tokens")
