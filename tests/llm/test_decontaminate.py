@@ -27,8 +27,8 @@ def test_masks_find_any_substitutions():
                 assert covers(masks(length, spare), length, spare), (length, spare)
 
 
-@pytest.mark.parametrize("block_items", [20000, 3])
-def test_against_brute_force(spark, block_items):
+@pytest.mark.parametrize("sent_items", [20000, 3])
+def test_against_brute_force(spark, sent_items):
     rng = random.Random(5)
     items = [(k, " ".join(rng.choice("abcdefghijklmno") * rng.randint(1, 2) for _ in range(rng.choice([1, 4, 6, 9, 13, 20])))) for k in range(12)]
     docs = []
@@ -41,14 +41,14 @@ def test_against_brute_force(spark, block_items):
             words[rng.randint(0, len(words)) : 0] = y[rng.randint(0, 3) :]
         docs.append((d, " ".join(words)))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = contamination(df, bench, block_items=block_items).collect()
+    got = contamination(df, bench, sent_items=sent_items).collect()
     want = brute(docs, items)
     assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want and want
-    assert {r.doc_id for r in decontaminate(df, bench, block_items=block_items).collect()} == set(range(150)) - {d for d, _ in want}
+    assert {r.doc_id for r in decontaminate(df, bench, sent_items=sent_items).collect()} == set(range(150)) - {d for d, _ in want}
 
 
-@pytest.mark.parametrize("window,substitutions", [(8, 1), (10, 3), (13, 0)])
-def test_other_windows_and_seeds_of_many_items(spark, monkeypatch, window, substitutions):
+@pytest.mark.parametrize("window,substitutions,sent_items", [(8, 1, 99), (10, 3, 99), (13, 0, 99), (10, 3, 0)])
+def test_other_windows_and_seeds_of_many_items(spark, monkeypatch, window, substitutions, sent_items):
     monkeypatch.setattr(module, "HITS", 40)
     rng = random.Random(9)
     common = [rng.choice("abcdef") for _ in range(14)]
@@ -64,15 +64,17 @@ def test_other_windows_and_seeds_of_many_items(spark, monkeypatch, window, subst
             words[5:5] = y
         docs.append((d, " ".join(words)))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, *items[:5]], "item_id long, text string")
-    got = [(r.doc_id, r.item_id) for r in contamination(df, bench, window=window, substitutions=substitutions).collect()]
+    got = [(r.doc_id, r.item_id) for r in contamination(df, bench, window=window, substitutions=substitutions, sent_items=sent_items).collect()]
     want = brute(docs, items, window, substitutions)
     assert sorted(got) == sorted(want) and 0 < len(want)
 
 
-def test_edges(spark):
+@pytest.mark.parametrize("sent_items", [99, 0])
+def test_edges(spark, sent_items):
     passage = " ".join(f"w{k}" for k in range(15))
     docs = spark.createDataFrame([(None, passage, 1), (1, None, 2), (2, "", 3), (3, "x " * 100000 + passage, 4), (3, "x " * 100000 + passage, 4)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(None, passage), (7, None), (8, ""), (9, "a b")], "item_id long, text string")
-    assert sorted(map(tuple, contamination(docs, bench).collect()), key=str) == [(3, None, 15, 100000), (3, None, 15, 100000), (None, None, 15, 0)]
-    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [1, 2]
-    assert contamination(docs, bench.limit(0)).count() == 0 and contamination(docs.limit(0), bench).count() == 0
+    assert sorted(map(tuple, contamination(docs, bench, sent_items=sent_items).collect()), key=str) == [(3, None, 15, 100000), (3, None, 15, 100000), (None, None, 15, 0)]
+    assert sorted(r.doc_id for r in decontaminate(docs, bench, sent_items=sent_items).collect()) == [1, 2]
+    assert decontaminate(docs, bench, sent_items=sent_items).columns == docs.columns
+    assert contamination(docs, bench.limit(0), sent_items=sent_items).count() == 0 and contamination(docs.limit(0), bench, sent_items=sent_items).count() == 0
