@@ -534,9 +534,10 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT,
         n_live = live.count()
         if n_live:
             rows = named.join(broadcast_if_small(live, n_live, BROADCAST_ROWS), "key")
-            dealt = lambda own, over, left: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(over) - 1), lambda o: F.struct(F.lit(left).alias("left"), *((F.pmod(F.xxhash64("node"), F.col(own)).alias("i"), o.alias("j")) if left else (o.alias("i"), F.pmod(F.xxhash64("node"), F.col(own)).alias("j"))))))
-            spread = rows.where("comp <> main").select("key", "node", "comp", dealt("lefts", "rights", True).alias("at")).union(rows.select("key", "node", "comp", dealt("rights", "lefts", False).alias("at")))
-            spread = spread.select("key", "at.*", "node", "comp").join(prints.select("node", "n", "sketch"), "node")
+            # Cell (i, j): chunk i of what is outside against chunk j of all.
+            outside = rows.where("comp <> main").withColumns({"left": F.lit(True), "i": F.pmod(F.xxhash64("node"), F.col("lefts")), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1))})
+            all_ = rows.withColumns({"left": F.lit(False), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)), "j": F.pmod(F.xxhash64("node"), F.col("rights"))})
+            spread = outside.unionByName(all_).select("key", "i", "j", "left", "node", "comp").join(prints.select("node", "n", "sketch"), "node")
             new = spread.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
             new = cut(sifted(new.distinct().join(pairs, ["a", "b"], "left_anti")), "new", n_members)
             more = cut(verified(new), "links", n_members)
