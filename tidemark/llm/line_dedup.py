@@ -168,8 +168,10 @@ def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: int =
     least hash of a line gram, so any repeated run shares a fingerprint; positions are joined on it, and
     around each hit the runs of `min_words` words forward and backward of every line are compared by 128 bits
     of hashes, which together extend the match both ways to its full length. Rows alike in doc_id and text count as one document.
-    Null text stays null, empty text empty; an empty table gives an empty one. `count` names a column for
-    the number of deleted lines; `drop_emptied` drops the rows that lost all their words.
+    Null text stays null, empty text empty; very long texts are taken whole; an empty table gives an empty one.
+    Columns of `docs` whose names begin with "__" are dropped, others stay. `count` names a column for the
+    number of deleted lines, which replaces one of that name; `drop_emptied` drops the rows that lost all
+    their words.
     """
     rows = docs.drop(*[c for c in docs.columns if c.startswith("__") or c == count])
     runs = cut(repeated_runs(rows, min_words=min_words, gram_words=gram_words), "runs")

@@ -277,8 +277,10 @@ def archive_pages(pages: DataFrame, *, min_bytes: int = MIN_BYTES, compress: boo
     """`pages` written as archives in the shared folder and read back, a row for each record.
 
     Null html is an empty payload; a null url leaves its field out, control characters in one become a
-    space; rows without page_id have records too. An error is raised if not all records are read again. An empty table gives no archive and no rows. Other
-    columns are not looked at.
+    space; rows without page_id have records too. A url or payload may have any length, a page_id be any
+    bigint, and repeated rows have a record each. Equal payloads are told by their SHA-1. An error is raised
+    if not all records are read again. An empty table gives no archive and no rows. Other columns are not
+    looked at.
     """
     folder = shared_path(pages.sparkSession, "warc")
     written = write_archives(pages, folder, min_bytes=min_bytes, compress=compress).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
