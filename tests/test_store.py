@@ -113,6 +113,8 @@ def test_lookups_read_only_what_they_need(spark, tmp_path):
     assert re.search(r"PushedFilters: [^\n]*In\(key, \[a000,b001,c298\]\)", plan)
     many = keys(spark, *(f"b{k:04d}" for k in range(2000)))
     assert store.batch_get(many).count() == 0 and seen(store.batch_get(many.union(keys(spark, "b298")))) == {"b298": "b"}
+    logs = {f.min_key[0]: f.path.rsplit("/", 1)[1] for f in store.manifest.state().tier("wal")}
+    assert {f.rsplit("/", 2)[1] for f in store.requested(keys(spark, *(f"{x}{k:04d}" for x in "ac" for k in range(1000)), "zz")).inputFiles()} == {logs["a"], logs["c"]}
     with pytest.raises(InvalidLookup):
         store.file_lookup("", keys(spark, "a"))
     with pytest.raises(InvalidLookup):

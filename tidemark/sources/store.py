@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,8 +130,8 @@ class Store:
     def requested(self, keys: DataFrame, version: int | None = None) -> DataFrame:
         """The records that a lookup of these keys has to look at.
 
-        Few keys are taken to the driver: only files whose range holds one of them are read, and the scan
-        names the keys. Of many keys the least and greatest choose files and row groups.
+        Only files whose range holds one of the keys are read. Few keys are taken to the driver, and the scan
+        names them; of many, the least and greatest choose row groups.
         """
         wanted = lookup.key_set(keys)
         some = sorted((r["key"] for r in wanted.limit(NAMED_KEYS + 1).collect()), key=str.encode)
@@ -143,8 +145,27 @@ class Store:
 
             return self._scan([f for f in files if holds(f)]).where(F.col("key").isin(some) if some else F.lit(False))
         low, high = wanted.agg(F.min("key"), F.max("key")).first()
-        files = [f for f in files if f.min_key is None or (f.min_key.encode() <= high.encode() and f.max_key.encode() >= low.encode())]
-        return self._scan(files).where((F.col("key") >= low) & (F.col("key") <= high))
+        held = self._hit(wanted, [(f.min_key, f.max_key) for f in files])
+        return self._scan([files[k] for k in held]).where((F.col("key") >= low) & (F.col("key") <= high))
+
+    def _hit(self, keys: DataFrame, spans: list[tuple[str | None, str | None]]) -> list[int]:
+        """The places of the key ranges that hold one of the keys; each task bisects its own sorted keys."""
+        sent = self.spark.sparkContext.broadcast([(a and a.encode(), b and b.encode()) for a, b in spans])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            left = dict(enumerate(sent.value))
+            for batch in batches:
+                coded = sorted(k.encode() for k in batch.column(0).to_pylist())
+                found = []
+                for k, (low, high) in left.items():
+                    at = bisect_left(coded, low or b"")
+                    if at < len(coded) and (high is None or coded[at] <= high):
+                        found.append(k)
+                for k in found:
+                    del left[k]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["k"])
+
+        return sorted(r["k"] for r in keys.mapInArrow(run, "k long").distinct().collect())
 
     def batch_get(self, keys: DataFrame, version: int | None = None) -> DataFrame:
         """(key, value) of the requested keys that are visible."""
