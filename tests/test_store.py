@@ -17,7 +17,7 @@ from tidemark.sources.manifest import Conflict, Manifest, Refused
 from tidemark.sources.store import InvalidLookup, InvalidWrite, Store
 from tidemark.streaming.changes import ManifestChanges
 from tidemark.sources.location import resolve
-from tidemark.streaming.flush import flush_batches, stream_to_store
+from tidemark.streaming.flush import bounded, flush_batches, stream_to_store
 
 
 def writes(spark, rows):
@@ -217,6 +217,27 @@ def test_change_feed(spark, tmp_path):
     assert follow() == want
 
 
+def test_waiting_for_a_change(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.wait(0, timeout_s=0.2) == 0
+    other = threading.Timer(0.3, lambda: Manifest(spark, store.manifest.folder).commit(lambda s: s.added("wal", "x")))
+    other.start()
+    assert store.wait(0, timeout_s=30) == 1
+    other.join()
+
+
+def test_bounded_streams(spark, tmp_path):
+    source, store = str(tmp_path / "in"), Store(spark, f"file://{tmp_path}/s")
+    for k in range(4):
+        writes(spark, [(f"{k}", "v")]).coalesce(1).write.mode("append").parquet(source)
+    reader = spark.readStream.schema("key string, put binary, delete boolean, ordinal long")
+    stream_to_store(bounded(reader, max_bytes=10).parquet(source), store, str(tmp_path / "c"), trigger={"availableNow": True}).awaitTermination()
+    assert store.live().count() == 4 and len(store.manifest.state().tier("wal")) == 4
+    again = bounded(spark.readStream.schema("key string, put binary, delete boolean, ordinal long"), files=2).parquet(source)
+    stream_to_store(again, store, str(tmp_path / "c2"), trigger={"availableNow": True}).awaitTermination()
+    assert len(store.manifest.state().tier("wal")) == 6
+
+
 def test_streams_side_by_side(spark, tmp_path):
     store, running = Store(spark, f"file://{tmp_path}/s"), []
     for n in range(4):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -286,6 +287,13 @@ class Store:
                     gone.append(f"{self.root}/data/{at}")
         return gone
 
+    def wait(self, version: int, *, timeout_s: float = 60.0, poll_s: float = 0.1) -> int:
+        """Waits until there is a version after this one, at most so long; returns the newest."""
+        end = time.monotonic() + timeout_s
+        while (now := self.manifest.state().version) <= version and time.monotonic() < end:
+            time.sleep(poll_s)
+        return now
+
     def changes_since(self, version: int) -> list[int]:
         """The versions after this one: a reader that polls it sees every change once."""
         return [v for v in self.manifest._versions() if v > version]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from ..sources.store import Store
 
@@ -45,6 +45,15 @@ def flush_batches(requests: DataFrame, *, max_bytes: int = MAX_BYTES, max_age_us
     return rows.mapInArrow(run, f"instance {kind}, ordinal long, batch long")
 
 
+def bounded(reader: DataStreamReader, *, files: int | None = None, max_bytes: int | None = MAX_BYTES) -> DataStreamReader:
+    """A file stream whose micro-batches are bounded: what comes faster than it is written waits in the source."""
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    elif max_bytes is not None:  # Spark takes one of the two
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader
+
+
 def stream_to_store(mutations: DataFrame, store: Store, checkpoint: str, *, trigger: dict | None = None, compact_at: int | None = None) -> StreamingQuery:
     """Writes each micro-batch of a stream of (key, put, delete, ordinal) as one log.
 
