@@ -192,8 +192,9 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, substitutions: int,
 
     dealt = own.select("seed").repartition(SIEVE_SLICES, F.shiftright(F.col("seed").bitwiseAND(F.lit(SIEVE_BITS - 1)), (size - 1).bit_length()))
     sieve = np.zeros(SIEVE_BITS // 8, np.uint8)
-    for r in dealt.mapInArrow(tidy(bits), "slice int, bits binary").toLocalIterator():
-        sieve[r["slice"] * size // 8 : (r["slice"] + 1) * size // 8] |= np.frombuffer(r["bits"], np.uint8)
+    slices = dealt.mapInArrow(tidy(bits), "slice int, bits binary").toArrow()  # at most the sieve itself
+    for k, x in zip(slices["slice"].to_pylist(), slices["bits"], strict=True):
+        sieve[k * size // 8 : (k + 1) * size // 8] |= np.frombuffer(x.as_buffer(), np.uint8)
     lengths = items.select(F.least(F.size(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")), F.lit(window)).alias("n")).distinct().collect()
     all_masks = sorted({m for (n,) in lengths if n >= max(1, least) for m in masks(n, allowed(n, window, substitutions))})
     sent = spark.sparkContext.broadcast(sieve)
