@@ -9,8 +9,10 @@ import sys
 import threading
 import time
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
+import tidemark
 from pyspark.sql import functions as F
 from tidemark.sources import store as store_module
 from tidemark.sources.manifest import Conflict, Manifest, Refused
@@ -80,7 +82,7 @@ def test_writers_of_two_processes(spark, tmp_path):
     """No turns are taken between processes: the file system alone decides."""
     (tmp_path / "w.py").write_text(WRITER)
     m = Manifest(spark, f"file://{tmp_path}/m")
-    other = subprocess.Popen([sys.executable, str(tmp_path / "w.py"), m.folder], env={**os.environ, "PYTHONPATH": os.getcwd()}, stderr=subprocess.DEVNULL)
+    other = subprocess.Popen([sys.executable, str(tmp_path / "w.py"), m.folder], env={**os.environ, "PYTHONPATH": str(Path(tidemark.__file__).parents[1])}, stderr=subprocess.DEVNULL)
     while m.state().version == 0 and other.poll() is None:
         time.sleep(0.01)
     mine = 40
