@@ -170,3 +170,60 @@ def test_every_kind_of_place_is_trained_on(spark):
         leaf, count = vocab.find(h)
         better += scorer.log_probability(leaf, kind, first)[3] / math.log(10) > vocab.base(count)[3] + 0.3
     assert better == len(pairs)
+
+
+def local_model(texts, vocab):
+    """The model before any round, and all places, without Spark."""
+    h, kind, first = lm.tokens(pa.array(texts))
+    leaf, _ = vocab.find(h)
+    f, y = lm.features(leaf, kind, first), np.where(leaf >= 0, leaf, lm.LEAVES - lm.TAIL + kind)
+    x = np.zeros((vocab.rows, lm.WIDTH))
+    for _, node, part in vocab.steps(y):
+        np.add.at(x, (vocab.row(f, node), part[:, None]), 1)
+    seen, share = x.sum(1), vocab.share[vocab.kinds()[0]]
+    ratio = np.log((x + lm.PRIOR * share + lm.EVEN) / ((seen + lm.PRIOR)[:, None] * share + lm.EVEN))
+    ratio[seen == 0] = 0
+    return lm.Model(vocab, ratio.astype(np.float16), seen.astype(np.float32)), f, y
+
+
+def test_every_text_trains_the_scales(spark):
+    """Scales come from all texts: also from those that no sixteenth of the first three holds, and each text counts once."""
+    docs = spark.createDataFrame(corpus(400, 5), "doc_id long, text string, out boolean")
+    late = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) >= 3)
+    vocab, _ = lm.vocabulary(lm.count_tokens(late))
+    assert not np.allclose(lm.train(late, vocab).scale, lm.SCALE)
+    vocab, _ = lm.vocabulary(lm.count_tokens(docs))
+    rows = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(lm.ROUNDS)).alias("part")).collect()
+    for rounds in (1, lm.ROUNDS):
+        model, _, _ = local_model([r.text for r in rows], vocab)
+        for turn in range(rounds):
+            _, f, y = local_model([r.text for r in rows if rounds == 1 or r.part == turn], vocab)
+            model.step(*model.gradient(f, y))
+        assert np.allclose(lm.train(docs, vocab, rounds=rounds).scale, model.scale, atol=1e-4)
+
+
+def test_gradient_against_plain_sums(spark):
+    docs = spark.createDataFrame(corpus(40, 6), "doc_id long, text string, out boolean")
+    vocab, _ = lm.vocabulary(lm.count_tokens(docs))
+    model, f, y = local_model([r.text for r in docs.collect()], vocab)
+    model.scale = model.scale * np.random.default_rng(0).uniform(-0.4, 1.5, model.scale.shape)
+    g, h = model.gradient(f, y)
+    want_g, want_h = np.zeros(model.scale.size), np.zeros(model.scale.size)
+    for level, node, part in vocab.steps(y):
+        rows = vocab.row(f, node)
+        for i in range(len(y)):
+            share, x, parts = vocab.share[node[i], part[i]], vocab.base_log[node[i]].astype(float), []
+            for k in range(lm.FEATURES):
+                v, n = model.ratio[rows[i, k]].astype(float), model.seen[rows[i, k]]
+                expected, least = (n + lm.PRIOR) * share + lm.EVEN, lm.PRIOR * share + lm.EVEN
+                v[part[i]] = math.log(max(math.exp(v[part[i]]) * expected - 1, least) / expected)
+                v = v * (n > 1)
+                parts.append(v)
+                x += model.scale[k, level, model.bucket(n - 1)] * v
+            p = np.exp(x - x.max())
+            p /= p.sum()
+            for k, v in enumerate(parts):
+                at = (k * lm.LEVELS + level) * lm.BUCKETS + int(model.bucket(model.seen[rows[i, k]] - 1))
+                want_g[at] += p @ v - v[part[i]]
+                want_h[at] += p @ v**2 - (p @ v) ** 2
+    assert np.allclose(g, want_g, rtol=1e-3, atol=1e-2) and np.allclose(h, want_h, rtol=1e-3, atol=1e-2)

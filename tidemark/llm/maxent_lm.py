@@ -7,7 +7,8 @@ class's training counts. Each choice is a maximum-entropy model with hashed n-gr
 tokens before: a feature's row of the class's own part of the weight table has a weight for each of the 16
 parts. Weights start as the smoothed log ratio of what was observed with the feature to what is expected at
 zero weights, from all places; then rounds of gradients, summed over all tasks, train how much of it counts
-for each kind of feature, level and number of observations. A place leaves its own observation out there.
+for each kind of feature, level and number of observations. Each training text enters one of these rounds, and
+none is left out. A place leaves its own observation out there.
 With all weights at zero the model is the smoothed unigram distribution.
 """
 
@@ -35,8 +36,8 @@ ROW_TOKENS, ROWS_LEAST, ROWS_MOST = 4, 1 << 15, 1 << 20
 PRIOR, EVEN = 8.0, 0.3
 #: Classes of numbers of observations.
 BUCKETS = 10
-#: Gradient rounds for the scales of weights, each on another one of so many parts of all texts, and the first scale.
-ROUNDS, PARTS, SCALE = 3, 16, 0.5
+#: Gradient rounds for the scales of weights, among which all texts are dealt; the first scale, and the least that is not 0.
+ROUNDS, SCALE, SCALE_LEAST = 3, 0.5, 1e-3
 #: Weights go no further than this, so that no softmax needs its greatest exponent taken out in single precision.
 LARGEST = 15.0
 #: Counts of up to so many of the most frequent tokens (2.6 MB) are told to all tasks; others are joined.
@@ -119,13 +120,21 @@ class Vocabulary:
             yield level, self.first_node[level] + leaf // above, leaf // (above // WIDTH) % WIDTH
 
     def row(self, f: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """The row of each feature in a class's part of the table."""
+        """The row of each feature in a class's part of the table; fast where each kind of feature lies in one piece."""
         with np.errstate(over="ignore"):
-            x = (f ^ self.salt[node][:, None]) * U64(0x9E3779B97F4A7C15)
+            x = f.T ^ self.salt.take(node)
+            x *= U64(0x9E3779B97F4A7C15)
             x ^= x >> U64(29)
-            x = (x * U64(0xBF58476D1CE4E5B9)) >> U64(32)
-            part = self.part[node][:, None]
-            return self.start[node][:, None] + part * np.arange(FEATURES) + ((x * part.astype(U64)) >> U64(32)).astype(np.int64)
+            x *= U64(0xBF58476D1CE4E5B9)
+            x >>= U64(32)
+            part = self.part.take(node)
+            x *= part.astype(U64)
+            x >>= U64(32)
+            row = x.view(np.int64)
+            row += self.start.take(node)
+            for k in range(1, FEATURES):
+                row[k] += part * k
+            return row.T
 
 
 def features(leaf: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -141,7 +150,7 @@ def features(leaf: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarra
 
     pair = back(1, PAIR_WORDS) * U64(1 << 20) + back(2, PAIR_WORDS)
     one = U64(1 << 60)
-    return np.stack([mix(back(1, CONTEXT_WORDS) + one), mix(pair + one * U64(2)), mix(back(2, CONTEXT_WORDS) + one * U64(3)), mix(back(3, CONTEXT_WORDS) + one * U64(4))], 1)
+    return np.stack([mix(back(1, CONTEXT_WORDS) + one), mix(pair + one * U64(2)), mix(back(2, CONTEXT_WORDS) + one * U64(3)), mix(back(3, CONTEXT_WORDS) + one * U64(4))]).T
 
 
 class Model:
@@ -157,46 +166,81 @@ class Model:
     def bucket(seen: np.ndarray) -> np.ndarray:
         return np.clip(np.frexp(seen)[1], 0, BUCKETS - 1)
 
-    def weights(self) -> np.ndarray:
-        """The weight table: ratios times scales."""
+    def scales(self, seen: np.ndarray) -> np.ndarray:
+        """The place in `scale` of each row, if it has so many observations."""
         node, kind = self.vocabulary.kinds()
         level = np.searchsorted(self.vocabulary.first_node, node, "right") - 1
-        by_row = self.scale[kind, level, self.bucket(self.seen)].astype(np.float32)
-        out = np.empty_like(self.ratio)
+        return (kind * LEVELS + level) * BUCKETS + self.bucket(seen)
+
+    def weights(self) -> np.ndarray:
+        """The weight table: ratios times scales."""
+        return self._weights(self.scales(self.seen), np.float16)
+
+    def _weights(self, at: np.ndarray, kind: type) -> np.ndarray:
+        by_row = self.scale.ravel().astype(np.float32)[at]
+        out = np.empty(self.ratio.shape, kind)
         for a in range(0, len(out), 1 << 16):
             out[a : a + (1 << 16)] = np.clip(self.ratio[a : a + (1 << 16)] * by_row[a : a + (1 << 16), None], -LARGEST, LARGEST)
         return out
 
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights as a place that is trained on sees them, with one observation less, and each row's number
+        of observations and place in `scale` in one integer; made once in a process."""
+        if not hasattr(self, "_training"):
+            at = self.scales(np.maximum(self.seen - 1, 0))
+            table = self._weights(at, np.float32)
+            table[self.seen <= 1] = 0
+            self._training = table, self.seen.astype(np.int64) << 16 | at
+        return self._training
+
     def gradient(self, f: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over places of expected less observed, and of the variance, by scale; a place's own observation is left out."""
+        """Sums over places of expected less observed, and of the variance, by scale; a place's own observation is left out.
+
+        Sums are taken of weights, and divided by the scales at the end.
+        """
         vocab, size = self.vocabulary, self.scale.size
+        table, about = self.training()
+        scale, share_of = self.scale.ravel().astype(np.float32), vocab.share.ravel()
         g, h, one = np.zeros(size), np.zeros(size), np.ones(WIDTH, np.float32)
+        spare = np.empty((FEATURES + 2, min(PLACES, max(1, len(leaf))), WIDTH), np.float32)
         for a in range(0, len(leaf), PLACES):
-            fa, i = f[a : a + PLACES], np.arange(min(PLACES, len(leaf) - a))
-            for level, node, part in vocab.steps(leaf[a : a + PLACES]):
-                rows, x, held = vocab.row(fa, node), vocab.base_log.take(node, 0), []
-                share = vocab.share[node, part]
+            fa = f[a : a + PLACES]
+            *held, x, product = spare[:, : len(fa)]
+            i = np.arange(len(fa)) * WIDTH
+            for _, node, part in vocab.steps(leaf[a : a + PLACES]):
+                rows, own = vocab.row(fa, node).T, i + part
+                vocab.base_log.take(node, 0, x, "clip")
+                share = share_of.take(node * WIDTH + part)
+                least = (PRIOR * share + EVEN).astype(np.float32)
+                share, places = share.astype(np.float32), []
                 for k in range(FEATURES):
-                    v, n = self.ratio.take(rows[:, k], 0).astype(np.float32), np.maximum(self.seen.take(rows[:, k]), 1)
-                    expected = (n + PRIOR) * share + EVEN
-                    own = np.exp(v[i, part].astype(np.float64)) * expected - 1
-                    v[i, part] = np.log(np.maximum(own, PRIOR * share + EVEN) / expected)
+                    weight = held[k]
+                    table.take(rows[k], 0, weight, "clip")
+                    known = about.take(rows[k])
+                    at, n = known & 0xFFFF, (known >> 16).astype(np.float32)
+                    s, expected = scale.take(at), n * share + least
+                    v = np.exp(weight.ravel().take(own) / s) * expected - np.float32(1)
+                    v = np.clip(s * np.log(np.maximum(v, least) / expected), -LARGEST, LARGEST)
                     v[n <= 1] = 0
-                    at = (k * LEVELS + level) * BUCKETS + self.bucket(n - 1)
-                    held.append((v, at))
-                    x += np.clip(self.scale.ravel()[at].astype(np.float32)[:, None] * v, -LARGEST, LARGEST)
+                    weight.ravel()[own] = v
+                    x += weight
+                    places.append((at, v))
                 np.exp(x, out=x)
-                x /= (x @ one)[:, None]
-                for v, at in held:
-                    mean, square = np.einsum("ij,ij->i", x, v), np.einsum("ij,ij,ij->i", x, v, v)
-                    g += np.bincount(at, mean - v[i, part], size)
-                    h += np.bincount(at, square - mean * mean, size)
-        return g, h
+                whole = x @ one
+                for weight, (at, v) in zip(held, places, strict=True):
+                    np.multiply(x, weight, out=product)
+                    mean = (product @ one) / whole
+                    product *= weight
+                    g += np.bincount(at, mean - v, size)
+                    h += np.bincount(at, (product @ one) / whole - mean * mean, size)
+        return g / self.scale.ravel(), h / self.scale.ravel() ** 2
 
     def step(self, g: np.ndarray, h: np.ndarray) -> None:
         """A damped Newton step of the scales."""
         move = (g / (0.5 * FEATURES * h + 50)).reshape(self.scale.shape)
-        self.scale = np.clip(self.scale - np.clip(move, -0.25, 0.25), -0.2, 1.2)
+        scale = np.clip(self.scale - np.clip(move, -0.25, 0.25), -0.2, 1.2)
+        self.scale = np.where(np.abs(scale) < SCALE_LEAST, SCALE_LEAST, scale)
+        self.__dict__.pop("_training", None)
 
 
 class Scorer:
@@ -205,18 +249,27 @@ class Scorer:
     def __init__(self, model: Model):
         self.vocabulary, self.table = model.vocabulary, model.weights()
 
+    def wide(self) -> np.ndarray:
+        """The weights in single precision, made once in a process: numpy adds half precision slowly."""
+        if self.table.dtype != np.float32:
+            self.table = self.table.astype(np.float32)
+        return self.table
+
     def log_probability(self, leaf: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of the way to each place's leaf; tail tokens lack their share of it."""
         f, leaf = features(leaf, kind, first), np.where(leaf >= 0, leaf, LEAVES - TAIL + kind)
-        out, one, held = np.zeros(len(leaf)), np.ones(WIDTH, np.float32), np.empty((PLACES, WIDTH), np.float16)
+        table, out, one = self.wide(), np.zeros(len(leaf)), np.ones(WIDTH, np.float32)
+        spare = np.empty((2, min(PLACES, len(leaf)), WIDTH), np.float32)
         for a in range(0, len(leaf), PLACES):
             fa = f[a : a + PLACES]
-            i = np.arange(len(fa))
+            x, held = spare[:, : len(fa)]
+            i = np.arange(len(fa)) * WIDTH
             for _, node, part in self.vocabulary.steps(leaf[a : a + PLACES]):
-                rows, x = self.vocabulary.row(fa, node), self.vocabulary.base_log.take(node, 0)
+                rows = self.vocabulary.row(fa, node).T
+                self.vocabulary.base_log.take(node, 0, x, "clip")
                 for k in range(FEATURES):
-                    x += self.table.take(rows[:, k], 0, held[: len(fa)], "clip")
-                own = x[i, part].astype(np.float64)
+                    x += table.take(rows[k], 0, held, "clip")
+                own = x.ravel().take(i + part).astype(np.float64)
                 np.exp(x, out=x)
                 out[a : a + PLACES] += own - np.log(x @ one)
         return out
@@ -278,16 +331,17 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(top["token"].to_numpy().view(U64), top["c"].to_numpy(), total, distinct, tail), least
 
 
-def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS, parts: int = PARTS) -> Model:
+def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> Model:
     """The model of all texts in `text`.
 
     One pass counts, for the features of every place, which part each class chose; tables of counts are
-    summed by slices and become log ratios. Each round then sums the scales' gradients over another part of
-    the texts. Both are sums over places, so how texts are dealt over files and tasks doesn't matter.
+    summed by slices and become log ratios. All texts are then dealt among the rounds by their hash, and each
+    round sums the scales' gradients over its texts, so every place enters the scales once. Both are sums over
+    places, so how texts are dealt over files and tasks doesn't matter.
     """
     spark = docs.sparkSession
     tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
-    rows = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(parts)).alias("part")).coalesce(tasks)
+    rows = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(max(1, rounds))).alias("part")).coalesce(tasks)
     told = spark.sparkContext.broadcast(vocab)
     border = np.linspace(0, vocab.rows, SLICES + 1).astype(np.int64)
 
@@ -346,7 +400,7 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS, parts: in
                     g, h = g + x, h + y
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["g", "h"])
 
-        sums = rows.where(F.col("part") == turn % parts).select("text").mapInArrow(tidy(slope), "g binary, h binary").toArrow()
+        sums = rows.where(F.col("part") == turn).select("text").mapInArrow(tidy(slope), "g binary, h binary").toArrow()
         g, h = (np.sum([np.frombuffer(x.as_buffer()) for x in sums[c]], axis=0) for c in ("g", "h"))
         model.step(g, h)
         shared.unpersist()
