@@ -1,6 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
+from tidemark import scratch
+from tidemark.llm import common
 from tidemark.llm import line_dedup as module
 from tidemark.llm.line_dedup import line_dedup
 
@@ -59,3 +62,32 @@ def test_edges(spark):
     assert len(got[5, "q"][0].split("\n")) < 60
     assert {r.doc_id for r in line_dedup(df, drop_emptied=True).collect()} == {None, 2, 3, 4, 5}
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_tasks_write_large_tables_themselves(spark, monkeypatch):
+    """Line tables and segments go to local folders without Hadoop, which starts a process for each file."""
+    written = []
+    for place in (module, common):
+        monkeypatch.setattr(place, "cut", lambda df, name, rows=None: written.append(name) or scratch.cut(df, name, rows))
+    run = "\n".join(f"w{k} x{k} y{k}" for k in range(30))
+    df = spark.createDataFrame([(1, run), (2, f"z\n{run}"), (3, None)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup(df).collect()} == {1: run, 2: "z", 3: None}
+    assert written and not {"lines", "segments"} & set(written)
+
+
+def test_cut_arrow(spark, monkeypatch):
+    """Same rows as by Spark's writer, in several row groups; nothing of a failed attempt is read."""
+    monkeypatch.setattr(common, "GROUP_BYTES", 1000)
+    df = spark.range(0, 3000, 1, 5)
+
+    def lists(batches):
+        for b in batches:
+            n = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), common.list_array(n.repeat(n % 3), n % 3, pa.int64()), pa.array([None if k % 7 == 0 else str(k) for k in n])], names=["id", "many", "t"])
+
+    schema = "id long, many array<long>, t string"
+    got = common.cut_arrow(df, lists, schema, "x")
+    common.open_fs(got._tidemark_at)[0].copy_file(*(common.open_fs(got._tidemark_at)[1] + "/" + x for x in ("part-00001.parquet", "_left")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.mapInArrow(lists, schema).collect()))
+    assert sorted(map(str, spark.read.parquet(got._tidemark_at).collect())) == sorted(map(str, got.collect()))
+    assert common.cut_arrow(df.limit(0), lists, schema, "x").count() == 0

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import ship
 from ..scratch import cut as cut
@@ -197,6 +201,56 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of a row group of the files that tasks write themselves.
+GROUP_BYTES = 1 << 23
+
+
+def cut_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> DataFrame:
+    """`cut` of `df.mapInArrow(tidy(f), schema)`; in a local folder the Python tasks write their files themselves.
+
+    Hadoop's local file system starts a process for the permissions of each file, which for a moment
+    seems to count the whole memory of the executor's JVM a second time. Other stores are left to Spark's writer. A file gets
+    its name when it is whole, the same one in each attempt of a task.
+    """
+    spark = df.sparkSession
+    made = df.mapInArrow(tidy(f), schema)
+    at = shared_path(spark, name)
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if not (at if ":" in at.split("/")[0] else default).startswith("file:"):
+        return cut(made, name)
+    to, kind = at, to_arrow_schema(made.schema)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = open_fs(to)
+        own, writer, held, size, rows = f"{folder}/_{uuid.uuid4().hex}", None, [], 0, 0
+        try:
+            for batch in f(batches):
+                if not len(batch):
+                    continue
+                if writer is None:
+                    fs.create_dir(folder, recursive=True)
+                    writer = pq.ParquetWriter(own, kind, filesystem=fs, compression="snappy")
+                held.append(pa.RecordBatch.from_arrays([batch.column(x.name).cast(x.type) for x in kind], schema=kind))
+                size, rows = size + batch.nbytes, rows + len(batch)
+                if size >= GROUP_BYTES:
+                    writer.write_table(pa.Table.from_batches(held))
+                    held, size = [], 0
+            if held:
+                writer.write_table(pa.Table.from_batches(held))
+        finally:
+            if writer is not None:
+                writer.close()
+        if writer is not None:
+            publish(fs, own, f"{folder}/part-{TaskContext.get().partitionId():05d}.parquet")
+            yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
+
+    if not df.mapInArrow(tidy(write), "rows long").toArrow().num_rows:
+        return spark.createDataFrame([], made.schema)
+    out = spark.read.schema(made.schema).parquet(at)
+    out._tidemark_at = at  # type: ignore[attr-defined]
+    return out
+
+
 def publish(fs, own: str, final: str) -> None:
     """Gives a finished file its name; a file that an earlier attempt of the task left there goes."""
     if fs.get_file_info(final).is_file:

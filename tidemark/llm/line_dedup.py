@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, broadcast_if_small, chunks, cut, lean, list_array, mix, one_array, powers, text_bytes, tidy
+from .common import BASE, U64, Words, broadcast_if_small, chunks, cut, cut_arrow, lean, list_array, mix, one_array, powers, text_bytes, tidy
 
 #: Any repeated run of so many words is found and deleted.
 MIN_WORDS = 50
@@ -140,7 +140,7 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: in
     lean(docs.sparkSession)
     gram_words = min(gram_words, min_words)
     keyed = docs.select(*_keys(), "text").where("text is not null")
-    lines = cut(keyed.mapInArrow(tidy(_line_table), LINES), "lines")
+    lines = cut_arrow(keyed, _line_table, LINES, "lines")
     prints = lines.mapInArrow(tidy(_fingerprints(gram_words, min_words)), "fp long, __d long, __h long, pos int")
     place = F.struct("__d", "__h", "pos")
     # Sums by key go out of each task first; what many texts share then meets them in a broadcast, or in a
@@ -148,8 +148,8 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, gram_words: in
     about = 4 * lines.count()  # of repeated fingerprints and runs, for the number of files
     repeated = cut(prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "fingerprints", about)
     hits = prints.join(broadcast_if_small(repeated, repeated.count(), BROADCAST_KEYS), "fp", "left_semi").groupBy("__d", "__h").agg(F.collect_set("pos").alias("hits"))
-    seg = lines.join(hits, ["__d", "__h"]).select("__d", "__h", "line", "hash", "other", "words", "hits").mapInArrow(tidy(_segments(min_words)), "seg long, seg2 long, __d long, __h long, pos int, first int, last int")
-    seg = cut(seg, "segments")
+    seg = lines.join(hits, ["__d", "__h"]).select("__d", "__h", "line", "hash", "other", "words", "hits")
+    seg = cut_arrow(seg, _segments(min_words), "seg long, seg2 long, __d long, __h long, pos int, first int, last int", "segments")
     first = cut(seg.groupBy("seg", "seg2").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").drop("end"), "origins", about)
     later = seg.join(broadcast_if_small(first, first.count(), BROADCAST_KEYS), ["seg", "seg2"]).where(place > F.col("origin"))
     return later.groupBy("__d", "__h").agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
